@@ -6,10 +6,10 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, token_counts
+from . import ann, bpe, chat, minhash, packing, quality, sharding, token_counts, topk, toxicity
 from .common import table
 from .tokenizer import load, vocabulary
 
@@ -74,9 +74,83 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ByteBpeEncoder(vocabulary("byte_bpe_50k.json"), 1), size=2048)
 
 
+#: Labelled texts of each class that a classifier is fitted on at most, and characters of each of them.
+SAMPLE_DOCS = {"toxic": (1500, 3000), "quality": (1000, 2000)}
+SAMPLE_CHARS = 16384
+
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: int, left_out: int) -> list[tuple[int, str]]:
+    """(label, text) of a bounded sample, chosen by hash, of labelled rows outside the held-out fold.
+
+    The held-out fold is ``crc32(doc_id as text) mod fold = left_out``. Of longer texts a stretch of SAMPLE_CHARS
+    characters at a place chosen by hash is taken. Nulls in labels or texts are no examples.
+    """
+    few, many = SAMPLE_DOCS[label]
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("y")).where(crc_of_id() % fold != left_out)
+    marks = marks.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    rare = 1 if label == "toxic" else 0
+    order = F.xxhash64("doc_id")
+    picked = marks.where(F.col("y") == rare).orderBy(order, "doc_id").limit(few).union(marks.where(F.col("y") == 1 - rare).orderBy(order, "doc_id").limit(many))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    begin = F.greatest(F.lit(1), F.pmod(order, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int"))
+    found = docs.join(F.broadcast(picked), "doc_id").select("y", F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "doc_id")
+    return [(r.y, r.text) for r in found.orderBy(order, "doc_id", "text").limit(few + many).collect()]
+
+
+def crc_of_id() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    rows = labelled_sample(spark, sf_dir, "toxic", 3, 1)
+    return toxicity.fit([t for y, t in rows if y], [t for y, t in rows if not y])
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    rows = labelled_sample(spark, sf_dir, "quality", 5, 0)
+    return quality.fit([t.encode() for _, t in rows], [y for y, _ in rows])
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by compression distance."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return _decided(scored, crc_of_id() % 3 == 1, 0.7)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the byte network."""
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return _decided(scored, crc_of_id() % 5 == 0, 0.3)
+
+
+def _decided(scored: DataFrame, held_out, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors found for every hundredth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty largest inner products for every twentieth vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles are alike to four fifths."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, threshold=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_bpe, op4_token_counts, op7_packing)}
+    found = (op1_toxicity, op2_sharding, op3_bpe, op4_token_counts, op5_chat, op6_ann, op7_packing, op8_topk, op9_quality, op10_minhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": chat.ORACLE}
