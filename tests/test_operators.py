@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidelog import operators as op
 from tidelog.functions import from_unsigned, memtable_size, table_size, to_unsigned, wal_size
+from tidelog.plans.fixtures import micros
 from tidelog.schema import InvalidRows, canonical, checked
 
 LOG = "series_id long, ts long, seq long, gen long, deleted boolean, value binary"
@@ -91,3 +92,13 @@ def test_key_filters_reach_the_scan(spark):
     stored = spark.read.parquet(path).select(F.col("o_custkey").alias("series_id"), F.col("o_orderkey").alias("ts"), F.col("o_orderkey").alias("seq"), F.lit(False).alias("deleted"), F.col("o_orderstatus").cast("binary").alias("value"))
     plan = op.scan(stored, 7, 0, 10**6)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,7)" in plan and "WindowGroupLimit" in plan and "o_totalprice" not in plan
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2024-07-01 12:34:56.789012' AS t, TIMESTAMP_NTZ '1969-12-31 23:59:59.999999' AS u")
+    try:
+        for zone in ("UTC", "America/New_York", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert tuple(df.select(micros("t"), micros("u")).first()) == (1_719_837_296_789_012, -1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

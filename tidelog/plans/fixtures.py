@@ -15,9 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(c: str) -> Column:
-    """Microseconds since 1970 of a timestamp without zone, taken as UTC whatever the session's zone."""
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", zero, F.col(c).cast("timestamp_ntz"))
+    """Microseconds since 1970 of a timestamp without zone, read as UTC whatever the session's zone."""
+    t = F.col(c).cast("timestamp_ntz")
+    seconds = F.extract(F.lit("SECOND"), t)  # with its fraction
+    return F.unix_date(t.cast("date")).cast("long") * DAY + F.hour(t).cast("long") * 3_600_000_000 + F.minute(t).cast("long") * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
