@@ -49,8 +49,11 @@ SEGMENT = 128  # blocks convolved at a time
 
 
 def _layout(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in one buffer, each padded with zero bytes to whole blocks; the number of blocks of each."""
-    counts = np.array([max(1, -(-len(t) // s.block)) for t in texts], np.int64)
+    """Texts in one buffer, padded with zero bytes to whole blocks; the number of blocks of each.
+
+    At least ``width - 1`` zero bytes follow a text, so that no filter sees the next one.
+    """
+    counts = np.array([-(-(len(t) + s.width - 1) // s.block) for t in texts], np.int64)
     data = np.zeros(int(counts.sum()) * s.block + s.width, np.uint8)
     at = 0
     for t, n in zip(texts, counts, strict=True):
