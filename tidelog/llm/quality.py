@@ -51,11 +51,12 @@ SEGMENT = 128  # blocks convolved at a time
 def _layout(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Texts in one buffer, padded with zero bytes to whole blocks; the number of blocks of each.
 
-    At least ``width - 1`` zero bytes follow a text, so that no filter sees the next one.
+    A filter at a place sees that byte and those before it. At least ``width - 1`` zero bytes follow a text and stand
+    before the first, so no filter sees two texts.
     """
     counts = np.array([-(-(len(t) + s.width - 1) // s.block) for t in texts], np.int64)
     data = np.zeros(int(counts.sum()) * s.block + s.width, np.uint8)
-    at = 0
+    at = s.width - 1
     for t, n in zip(texts, counts, strict=True):
         data[at : at + len(t)] = np.frombuffer(t, np.uint8)
         at += int(n) * s.block
@@ -63,7 +64,7 @@ def _layout(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_maxima(m: Model, data: np.ndarray, blocks: int, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """(blocks, filters) largest responses, and where in the buffer they are. A filter may look into the next block."""
+    """(blocks, filters) largest responses, and where in the buffer their first bytes are. A filter may reach back into the block before."""
     s = m.settings
     out = np.empty((blocks, s.filters), np.float32)
     where = np.empty((blocks, s.filters), np.int64) if places else None
