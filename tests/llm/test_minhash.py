@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import minhash, queries
-from tidelog.llm.components import components
+from tidelog.llm.components import components, forest_roots
 
 
 def shingles(text, k):
@@ -76,7 +76,8 @@ def test_planted_groups(spark, planted):
 
 
 def test_large_mixed_buckets_are_salted(spark, planted, monkeypatch):
-    monkeypatch.setattr(minhash, "SALT_ROWS", 7)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "HUB_BANDS", 30)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     df = spark.createDataFrame(planted, "doc_id long, text string")
     want = Counter((d, *v) for (d, _), v in zip(planted, brute(planted, 4), strict=True))
@@ -100,17 +101,21 @@ def test_empty_and_clashing_columns(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.keep_one(df.limit(0)).count() == 0
 
 
-def test_estimate_is_collision_corrected(spark):
+def test_estimate_is_collision_corrected():
     rng = np.random.default_rng(1)
     for share in (0.0, 0.5, 0.9):
         a = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
         n = int(len(a) * share)
         b = np.unique(np.r_[a[:n], rng.integers(0, 1 << 63, len(a) - n, dtype=np.uint64)])
-        packed = minhash.pack(np.stack([minhash.minima(a), minhash.minima(b)]))
-        names = [f"{p}s{i}" for p in "ab" for i in range(minhash.LONGS)]
-        df = spark.createDataFrame([tuple(int(x) for x in packed.reshape(-1))], ", ".join(f"{c} long" for c in names))
+        x, y = minhash.pack(np.stack([minhash.minima(a), minhash.minima(b)]))
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(df.select(minhash.similarity("a", "b").alias("s")).first().s - true) < 0.16
+        assert abs(float(minhash.similarity(x, y)) - true) < minhash.SLACK
+
+
+def test_forest_roots(spark):
+    links = [(i, i // 3) for i in range(1, 200)] + [(500, 400), (501, 500)]
+    got = {r.node: r.comp for r in forest_roots(spark.createDataFrame(links, "node long, parent long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 200)}, 500: 400, 501: 400}
 
 
 def test_components(spark):

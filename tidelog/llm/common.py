@@ -48,15 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back, which cuts its lineage.
 
+    batch_rows: rows of the Arrow batches that Python gets meanwhile; few where texts are long, to bound memory.
+
     A lost executor loses nothing of it, and later plans read it column by column. The folder is removed when
     the driver ends, through Hadoop's file system, so any store works.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ROWS_PER_BATCH)
+    if batch_rows:
+        spark.conf.set(ROWS_PER_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ROWS_PER_BATCH, before)
     if not _made:
         atexit.register(_remove_all)
     _made.append((spark, path))
@@ -70,8 +81,9 @@ def discard(*paths: str) -> None:
         _made.remove((spark, path))
 
 
-def scratch_paths() -> list[str]:
-    return [p for _, p in _made]
+def paths(df: DataFrame) -> list[str]:
+    """Folders of the scratch tables that a plan reads directly."""
+    return sorted({p for f in df.inputFiles() for _, p in _made if f.rsplit("/", 1)[0].endswith(p.split(":", 1)[-1])})
 
 
 def _delete(spark: SparkSession, path: str) -> None:

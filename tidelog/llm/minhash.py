@@ -1,18 +1,19 @@
 """Near-duplicate documents by b-bit MinHash over word shingles, with every link confirmed on the full shingle sets.
 
-1. One pass over the texts makes 128 minima per document. Four minima at a time give 32 band keys; the low four bits of
-   all minima are packed into eight longs. Only these leave Python, about 350 bytes a document.
+1. One pass over the texts makes 768 minima per document. Six of the first 252 at a time give 42 band keys; the low two
+   bits of all minima are packed into 192 bytes. Only these leave Python, about 550 bytes a document.
 2. Documents with equal shingle sets (a 128-bit digest) are one *class*; all later work is on classes, so thousands
    of copies are one row.
-3. Classes that share a band key are candidates. Bit counts of two packed signatures give the share of equal low bits,
-   and ``(share - 1/16) / (1 - 1/16)`` estimates the similarity without the chance collisions; pairs far below the
-   threshold (over five standard errors) or whose set sizes rule them out are dropped, the rest confirmed on full sets.
-4. Not all pairs of a bucket are made. First each class is compared with one hub of its buckets, then with every hub
-   that is not yet connected to it; components follow from the confirmed links. Last, buckets that still hold several
-   components compare the members outside the hub's component with the members of other components, large buckets
-   dealt over salts. Pairs inside a component cannot change the result, so no link that matters is left out.
+3. Classes that share a band key are candidates. Each bucket has a hub, its class that shares buckets with most others;
+   every class is compared with the one hub it shares most bands with. Confirmed links form a forest, whose roots are components.
+4. Buckets that still hold several components compare the members outside their hub's component with all others, in
+   blocks of bounded size. Bit counts of two packed signatures give the share of equal low bits, and
+   ``(share - 1/4) / (1 - 1/4)`` estimates the similarity without the chance collisions. A pair goes on, from the first
+   bucket that it shares only, if it may reach the threshold by this estimate and by its set sizes; then full sets
+   decide. Pairs inside a component cannot change the result, so no link that matters is left out.
 
-With 32 bands of four, a pair at similarity 0.8 shares no band with probability 5e-8.
+A pair at similarity 0.8 shares no band with probability 3e-6, and its estimate is off by more than the margin (over
+4.5 standard errors of 0.0172) with 2e-6.
 
 Results by case: null and empty texts, or texts of white space only, have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows are copies of each other, also under one
@@ -27,25 +28,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pick, scratch_paths, slices
-from .components import components
+from .common import discard, materialize, paths, pick, slices
+from .components import components, forest_roots
 
-PERMS, BANDS, BITS = 128, 32, 4
-LONGS = PERMS * BITS // 64
-#: Below the threshold by this much, an estimate is beyond five standard errors (0.037 at similarity 0.8).
-SLACK = 0.2
+PERMS, BANDS, ROWS, BITS = 768, 42, 6, 2
+WORDS = PERMS * BITS // 64
+#: How far below the threshold an estimate may be for the pair to be confirmed or ruled out on full sets.
+SLACK = 0.08
+#: A class is compared with a hub of at least so many common bands; what this misses is left to the comparison in blocks.
+HUB_BANDS = 3
 #: Candidate ids up to this number are broadcast to find their texts (about 50 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members outside the hub's component that one salt of a bucket compares.
-SALT_ROWS = 2048
+#: Texts of an Arrow batch.
+TEXT_ROWS = 500
+#: Members of one side of a block.
+BLOCK = 1024
 
-_SIGS = [f"s{i}" for i in range(LONGS)]
-_KEYS = [f"b{i}" for i in range(BANDS)]
-_SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), *((c, pa.int64()) for c in _SIGS + _KEYS)])
-_SIG_DDL = "doc_id long, n_shingles long, cls binary, " + ", ".join(f"{c} long" for c in _SIGS + _KEYS)
+_SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIG_DDL = "doc_id long, n_shingles long, cls binary, sig binary, keys array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,26 +92,36 @@ _B = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
 
 
 def minima(items: np.ndarray) -> np.ndarray:
-    """The 128 minima of a set, in blocks, so that memory does not follow the text's length."""
+    """The minima of a set, in blocks, so that memory does not follow the text's length."""
     low = np.full(PERMS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(items), 1024):
-        x = (items[i : i + 1024] >> np.uint64(32)).astype(np.uint32)[:, None] * _A
+    for i in range(0, len(items), 256):
+        x = (items[i : i + 256] >> np.uint64(32)).astype(np.uint32)[:, None] * _A
         x += _B
         np.minimum(low, x.min(axis=0), out=low)
     return low
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """(documents, 128) minima to (documents, 8) longs of four low bits each."""
-    bits = (low & 0xF).astype(np.uint8)
-    return np.ascontiguousarray(bits[:, 0::2] | (bits[:, 1::2] << 4)).view(np.int64)
+    """(documents, PERMS) minima to (documents, WORDS) unsigned longs of two low bits each."""
+    two = (low & 3).astype(np.uint8)
+    return np.ascontiguousarray(two[:, 0::4] | (two[:, 1::4] << 2) | (two[:, 2::4] << 4) | (two[:, 3::4] << 6)).view(np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Collision-corrected estimates from packed signatures, whose last axis is WORDS; the others broadcast."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x &= np.uint64(0x5555555555555555)
+    equal = 1 - np.bitwise_count(x).sum(axis=-1, dtype=np.int64) / PERMS
+    chance = 1 / (1 << BITS)
+    return (equal - chance) / (1 - chance)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    """(documents, 128) minima to (documents, 32) keys."""
-    groups = low.reshape(len(low), BANDS, PERMS // BANDS).astype(np.uint64)
+    """(documents, PERMS) minima to (documents, BANDS) keys."""
+    groups = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40), groups.shape[:2]).copy()
-    for j in range(groups.shape[2]):
+    for j in range(ROWS):
         key = _mix(key + groups[:, :, j])
     return key.view(np.int64)
 
@@ -121,12 +134,12 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, class, packed signature and band keys of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), size)
             low = np.stack([minima(s) for s in sets])
-            packed, keys = pack(low), band_keys(low)
-            columns = [pa.array(np.ascontiguousarray(m[:, i])) for m, n in ((packed, LONGS), (keys, BANDS)) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), *columns], schema=_SIG_SCHEMA)
+            sig = pa.array([row.tobytes() for row in pack(low)], pa.binary())
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(low).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), sig, keys], schema=_SIG_SCHEMA)
 
     return rows.selectExpr("doc_id", "CAST(text AS BINARY) AS text").mapInArrow(run, _SIG_DDL)
 
@@ -146,63 +159,80 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.selectExpr("CAST(text AS BINARY) AS text").mapInArrow(run, "cls binary, items array<long>")
 
 
-def similarity(a: str, b: str) -> Column:
-    """Collision-corrected estimate from two packed signatures, columns prefixed ``a`` and ``b``."""
-    unequal = F.lit(0)
-    for c in _SIGS:
-        x = F.col(a + c).bitwiseXOR(F.col(b + c))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        unequal = unequal + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    chance = 1 / (1 << BITS)
-    return ((1 - unequal / PERMS) - chance) / (1 - chance)
-
-
-def likely(threshold: int, a: str = "a_", b: str = "b_") -> Column:
-    """Whether two classes may reach the threshold, by set sizes (exactly) and by the estimate."""
-    small, large = F.least(a + "n", b + "n"), F.greatest(a + "n", b + "n")
-    return (100 * small >= threshold * large) & (similarity(a, b) >= threshold / 100 - SLACK)
-
-
-class _Linker:
-    """Confirmed links between classes, gathered in rounds; everything kept is a scratch table."""
-
-    def __init__(self, rows: DataFrame, classes: DataFrame, size: int, threshold: int):
-        self.rows, self.classes, self.size, self.threshold = rows, classes, size, threshold
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def side(self, prefix: str) -> DataFrame:
-        return self.classes.select(F.col("cls").alias(prefix + "cls"), F.col("n_shingles").alias(prefix + "n"), *(F.col(c).alias(prefix + c) for c in _SIGS))
-
-    def with_label(self, df: DataFrame, cls: str, label: str) -> DataFrame:
-        """``df`` with the component of its class; a class without links is its own component."""
-        if self.labels is None:
-            return df.withColumn(label, F.col(cls))
-        labels = self.labels.select(F.col("node").alias(cls), F.col("comp").alias(label))
-        return df.join(labels, cls, "left").withColumn(label, F.coalesce(label, cls))
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add those of the distinct (a_cls, b_cls) pairs whose full sets reach the threshold, and find components anew."""
-        pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.col("a_cls").alias("cls")).union(pairs.select(F.col("b_cls").alias("cls"))).distinct()
-        wanted = materialize(wanted.join(self.classes.select("cls", "low"), "cls"), "wanted")
-        n = wanted.count()
-        if not n:
-            return
-        ids = wanted.select(F.col("low").alias("w_id"))
-        texts = self.rows.join(F.broadcast(ids.distinct()) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-        # a doc_id may stand for several texts: keep the sets that were asked for, each once
-        sets = full_sets(texts.select("text"), self.size).join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
-        sets = materialize(sets, "sets")
-        a, b = (sets.select(F.col("cls").alias(p + "cls"), F.col("items").alias(p + "items")) for p in ("a_", "b_"))
-        both = F.size(F.array_intersect("a_items", "b_items"))
-        union = F.size("a_items") + F.size("b_items") - both
-        found = pairs.join(a, "a_cls").join(b, "b_cls").where(100 * both >= self.threshold * union).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
-        old = self.links
-        self.links = materialize(found if old is None else old.union(found), "links")
-        discard(*[p for p in scratch_paths() if "/sets-" in p or "/pairs-" in p or "/wanted-" in p])
-        self.labels = components(self.links)
+_PAIR = pa.schema([("a_cls", pa.binary()), ("b_cls", pa.binary())])
+_BLOCK_COLUMNS = ["key", "sl", "sr", "left", "cls", "comp", "main", "n_shingles", "sig", "keys"]
+
+
+def compare_blocks(threshold: int):
+    """Partition function over rows sorted by block (key, sl, sr): likely pairs of a left and a right member.
+
+    A block is at most BLOCK rows of either side and is compared in slabs of a few megabytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            block = np.stack([held[c].to_numpy() for c in ("key", "sl", "sr")])
+            cuts = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
+            if len(cuts):
+                yield from _compare(held.slice(0, cuts[-1]).combine_chunks(), threshold)
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield from _compare(held.combine_chunks(), threshold)
+
+    return run
+
+
+def _compare(t: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
+    block = np.stack([t[c].to_numpy() for c in ("key", "sl", "sr")])
+    edges = np.r_[0, np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, t.num_rows]
+    left, n, key, main = t["left"].to_numpy(), t["n_shingles"].to_numpy(), block[0], t["main"].to_numpy()
+    cls = t["cls"].to_pylist()
+    codes: dict[bytes, int] = {}
+    comp = np.array([codes.setdefault(c, len(codes)) for c in t["comp"].to_pylist()])
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
+    keys = np.array(t["keys"].to_pylist(), np.int64).reshape(-1, BANDS)
+    found: list[tuple[bytes, bytes]] = []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        ours, theirs = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
+        if not len(ours) or not len(theirs):
+            continue
+        step = max(1, (8 << 20) // (len(theirs) * WORDS * 8))
+        for k in range(0, len(ours), step):
+            some = ours[k : k + step]
+            small, large = np.minimum(n[some][:, None], n[theirs]), np.maximum(n[some][:, None], n[theirs])
+            fit = (comp[some][:, None] != comp[theirs]) & (100 * small >= threshold * large)
+            fit &= similarity(sig[some][:, None, :], sig[theirs][None, :, :]) >= threshold / 100 - SLACK
+            for i, j in zip(*np.nonzero(fit), strict=True):
+                a, b = some[i], theirs[j]
+                # once a pair: if neither is in the hub's component the smaller class is left; and in the first common bucket
+                if (main[b] or cls[a] < cls[b]) and keys[a][np.argmax(keys[a] == keys[b])] == key[a]:
+                    found.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_PAIR)
+
+
+def confirm(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Those of the distinct (a_cls, b_cls) pairs whose full sets reach the threshold."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a_cls").alias("cls")).union(pairs.select(F.col("b_cls").alias("cls"))).distinct()
+    wanted = materialize(wanted.join(classes.select("cls", "low"), "cls"), "wanted")
+    ids = wanted.select(F.col("low").alias("w_id"))
+    small = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(ids.distinct()) if small else ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    # a doc_id may stand for several texts: keep the sets that were asked for, each once
+    sets = full_sets(texts.select("text"), size).join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
+    sets = materialize(sets, "sets", TEXT_ROWS)
+    a, b = (sets.select(F.col("cls").alias(p + "cls"), F.col("items").alias(p + "items")) for p in ("a_", "b_"))
+    both = F.size(F.array_intersect("a_items", "b_items"))
+    union = F.size("a_items") + F.size("b_items") - both
+    found = pairs.join(a, "a_cls").join(b, "b_cls").where(100 * both >= threshold * union).select("a_cls", "b_cls")
+    found = materialize(found, "links")
+    discard(*[p for d in (pairs, wanted, sets) for p in paths(d)])
+    return found
 
 
 def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,54 +241,53 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_
     Two documents are linked if 100 * intersection >= threshold * union of their sets of ``shingle`` words.
     """
     rows = pick(df, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text")
-    sigs = materialize(signatures(rows, shingle), "signatures")
-    one = ["n_shingles", *_SIGS, *_KEYS]
-    classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in one))
+    sigs = materialize(signatures(rows, shingle), "signatures", TEXT_ROWS)
+    classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys")))
     classes = materialize(classes, "classes")
-    bands = classes.select("cls", F.xxhash64("cls").alias("h"), F.explode(F.array(*_KEYS)).alias("key"))
-    hubs = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "cls")).alias("hub")).where("n > 1")
-    hubs = materialize(hubs.select("key", F.col("hub.cls").alias("hub")), "hubs")
-    link = _Linker(rows, classes, shingle, threshold)
-
-    # members of shared buckets beside their hub, once a pair, with the estimate
-    star = bands.join(hubs, "key").where("cls <> hub").select(F.col("hub").alias("a_cls"), F.col("cls").alias("b_cls")).distinct()
-    star = materialize(star, "star").join(link.side("a_"), "a_cls")
-    star = star.join(link.side("b_"), "b_cls").where(likely(threshold)).select("a_cls", "b_cls", similarity("a_", "b_").alias("est"))
-    star = materialize(star, "likely")
-    link.confirm(star.groupBy("b_cls").agg(F.max(F.struct("est", "a_cls")).alias("best")).select(F.col("best.a_cls").alias("a_cls"), "b_cls"))
-    rest = link.with_label(link.with_label(star.select("a_cls", "b_cls"), "a_cls", "a_comp"), "b_cls", "b_comp")
-    link.confirm(rest.where("a_comp <> b_comp").select("a_cls", "b_cls"))
-
-    link.confirm(_across(link, bands, hubs))
-
-    if link.labels is None:
-        final = classes.select("cls", F.col("low").alias("component_id"))
-    else:
-        named = materialize(classes.select("cls", "low").join(link.labels.withColumnRenamed("node", "cls"), "cls"), "named")
-        low = materialize(named.groupBy("comp").agg(F.min("low").alias("component_id")), "lows")
-        inside = materialize(named.join(low, "comp").select("cls", "component_id"), "inside")
-        alone = classes.select("cls", F.col("low").alias("component_id")).join(inside.select("cls"), "cls", "left_anti")
-        final = inside.union(alone)
-    final = materialize(final, "final").withColumn("known", F.lit(True))
+    bands = classes.select("cls", F.explode("keys").alias("key"))
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    few = shared.count() <= BROADCAST_IDS
+    members = materialize(bands.join(F.broadcast(shared) if few else shared, "key"), "members")
+    # a class in many and large buckets is central: it is the hub of its buckets
+    degree = materialize(members.groupBy("cls").agg(F.sum("n").alias("degree")), "degree")
+    members = materialize(members.join(degree, "cls").select("key", "n", "cls", F.struct("degree", F.xxhash64("cls").alias("h")).alias("rank")), "ranked")
+    hubs = materialize(members.groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub")), "hubs")
+
+    # a hub's rank is above its members', so one link for each class makes a forest
+    common = members.join(hubs, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n")).where(F.col("n") >= HUB_BANDS)
+    star = common.groupBy("cls").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("best.hub").alias("a_cls"), F.col("cls").alias("b_cls"))
+    roots = forest_roots(confirm(star, rows, classes, shingle, threshold).select(F.col("b_cls").alias("node"), F.col("a_cls").alias("parent")))
+    first = _labelled(classes.select("cls", "low"), roots)
+    across = confirm(_across(members, classes, roots, threshold), rows, classes, shingle, threshold)
+    ends = _labelled(_labelled(across, roots, "a_cls", "a"), roots, "b_cls", "b")
+    joined = components(ends.select("a", "b"))
+    named = materialize(_labelled(first, joined, "comp", "whole"), "named")
+    low = materialize(named.groupBy("whole").agg(F.min("low").alias("component_id")), "lows")
+    final = materialize(named.join(low, "whole").select("cls", "component_id", F.lit(True).alias("known")), "final")
     out = sigs.select("doc_id", "n_shingles", "cls").join(final, "cls", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(link: _Linker, bands: DataFrame, hubs: DataFrame) -> DataFrame:
+def _labelled(df: DataFrame, labels: DataFrame, column: str = "cls", label: str = "comp") -> DataFrame:
+    """``df`` with the component of a node column; a node without links is its own component."""
+    named = labels.select(F.col("node").alias(column), F.col("comp").alias(label))
+    return df.join(named, column, "left").withColumn(label, F.coalesce(label, column))
+
+
+def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     """Likely pairs of different components that share a bucket, each once."""
-    members = materialize(link.with_label(bands.join(hubs.select("key"), "key"), "cls", "comp"), "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("h", "comp")).alias("hub"), F.count("*").alias("n"))
-    mixed = materialize(mixed.where("lo <> hi").select("key", F.col("hub.comp").alias("main"), "n"), "mixed")
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    inside = materialize(members.join(mixed, "key").select("key", "cls", "comp", "main", salts.alias("salts")), "inside")
-    left = inside.where("comp <> main").select("key", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.col("cls").alias("a_cls"), F.col("comp").alias("a_comp"))
-    right = inside.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("cls").alias("b_cls"), F.col("comp").alias("b_comp"), "main")
-    left = materialize(left.join(link.side("a_"), "a_cls"), "left")
-    right = materialize(right.join(link.side("b_"), "b_cls"), "right")
-    differ = (left.a_comp != right.b_comp) & ((right.b_comp == right.main) | (left.a_cls < right.b_cls))
-    found = left.join(right, (left.key == right.key) & (left.salt == right.salt) & differ & likely(link.threshold))
-    return found.select(F.least("a_cls", "b_cls").alias("a_cls"), F.greatest("a_cls", "b_cls").alias("b_cls")).distinct()
+    members = materialize(_labelled(members, roots), "members")
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rank", "cls", "comp")).alias("hub"), F.max("n").alias("n"))
+    mixed = materialize(mixed.where("lo <> hi").select("key", F.col("hub.comp").alias("hub_comp"), F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")), "mixed")
+    inside = members.join(mixed, "key").select("key", "cls", "comp", (F.col("comp") == F.col("hub_comp")).alias("main"), "salts", F.pmod("rank.h", F.col("salts")).cast("int").alias("salt"))
+    inside = materialize(inside, "inside")
+    every = F.sequence(F.lit(0), F.col("salts") - 1)
+    left = inside.where("NOT main").select("key", F.col("salt").alias("sl"), F.explode(every).alias("sr"), F.lit(True).alias("left"), "cls", "comp", "main")
+    right = inside.select("key", F.explode(every).alias("sl"), F.col("salt").alias("sr"), F.lit(False).alias("left"), "cls", "comp", "main")
+    rows = materialize(left.unionByName(right), "sides").join(classes.select("cls", "n_shingles", "sig", "keys"), "cls").select(_BLOCK_COLUMNS)
+    blocks = rows.repartition("key", "sl", "sr").sortWithinPartitions("key", "sl", "sr")
+    return blocks.mapInArrow(compare_blocks(threshold), "a_cls binary, b_cls binary")
 
 
 def keep_one(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
