@@ -12,12 +12,17 @@ from tidelog.llm.common import table
 SF = "/root/testdata/sf0.01"
 
 
-def test_op5_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    want = sorted(con.execute(queries.oracle_sql()["op5_chat"]).fetchall())
-    got = sorted(map(tuple, queries.op5_chat(spark, SF).select("conv_id", "segment", "n_turns", "rendered").collect()))
-    assert got == want and len(got) > 10
+    for t in ("conversations", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    done = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in done.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    want = sorted(done.fetchall())
+    assert sorted(map(tuple, got.select(columns).collect())) == want and len(want) > 10
 
 
 TURNS = "conv_id long, turn long, role string, text string, pos int, n_turns int"

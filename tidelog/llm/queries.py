@@ -152,5 +152,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 20
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS pos FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 3], ' ') AS shingle FROM i),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * k >= 80 * (cx.n + cy.n - k)),
+z AS (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, z.b FROM r JOIN z ON r.other = z.a),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(c.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN c ON c.doc_id = m.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": chat.ORACLE}
+    return {"op5_chat": chat.ORACLE, "op8_topk": OP8_SQL, "op10_minhash": OP10_SQL}
