@@ -116,7 +116,7 @@ def merge_open(pieces: pd.DataFrame, size: int, fan: int) -> pd.DataFrame:
 
 
 def pack(
-    df: DataFrame, encode: Callable[[list[str]], list[bytes]], *, size: int = 2048, windows: int = 128, merge_fan: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, encode: Callable[[list[str]], list[bytes]], *, size: int = 2048, windows: int = 256, merge_fan: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all of ``df``'s rows.
 
@@ -125,7 +125,7 @@ def pack(
     """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     # written once: tokens are counted once, and a piece's partition can't change under a later retry
-    made = materialize(rows.mapInArrow(_pack_partition(encode, size, windows), PIECE), "packed")
+    made = materialize(rows.mapInArrow(_pack_partition(encode, size, windows), PIECE), "packed", 1000)
     left = made.where("ids IS NOT NULL").withColumn("fan", F.floor(F.col("part") / merge_fan))
     merged = left.groupBy("fan").applyInPandas(lambda g: merge_open(g, size, int(g["fan"].iloc[0])), PIECE)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
