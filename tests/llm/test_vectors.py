@@ -77,7 +77,7 @@ def test_odd_rows_ann(odd):
     rows, df = odd
     items = {i: np.array(v, np.float32).astype(float) for i, v in rows if i and v and len(v) == 4 and None not in v and np.isfinite(v).all() and any(v)}
     distance = lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))
-    got = by_query(ann.search(df, every=5, k=6, probes=1000, block=32, asks=7).collect())
+    got = by_query(ann.search(df, every=5, k=6, probe_share=1.0, block=32, asks=7).collect())
     assert set(got) == {i for i in items if i % 5 == 0}
     same = sum([v for _, v, _ in found] == [i for _, i in best(items, q, 6, distance, True)] for q, found in got.items())
     assert same >= 0.9 * len(got)

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by an adaptive scan of dimensions within inverted lists.
 
 Lists come from k-means on a bounded sample; every vector goes to the list of its nearest center, and a query probes
-the ``probes`` nearest lists. Vectors are turned by a random rotation, after which any columns are a fair sample of
+a share of the lists, nearest first. Vectors are turned by a random rotation, after which any columns are a fair sample of
 all: scanning in blocks of columns, a candidate is abandoned as soon as its partial distance, scaled to all columns,
 exceeds the current k-th distance by more than the test's margin. Survivors are scored on the original vectors.
 
@@ -59,10 +59,11 @@ def scan(items: np.ndarray, queries: np.ndarray, rotation: np.ndarray, k: int) -
     return out
 
 
-def search(df: DataFrame, *, every: int = 100, k: int = 10, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, asks: int = 256) -> DataFrame:
+def search(df: DataFrame, *, every: int = 100, k: int = 10, probe_share: float = 0.6, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, asks: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose id is divisible by ``every``.
 
-    probes: lists that a query looks into; by default a third of them, at least 16.
+    probe_share: of the lists that a query looks into, at least 16. Vectors without clusters, as in the test tables, need
+    more than half of the lists for a recall of 0.95; clustered ones need few.
     """
     rows = materialize(valid(df, id_col, vector_col, zero_allowed=False), "vectors")
     size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -73,7 +74,7 @@ def search(df: DataFrame, *, every: int = 100, k: int = 10, probes: int | None =
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = int(min(4096, max(1, round(math.sqrt(n)))))
-    probe = min(lists, probes or max(16, lists // 3))
+    probe = min(lists, max(16, math.ceil(lists * probe_share)))
     sample = sample_matrix(found, "v", SAMPLE)
     centers = k_means(sample, lists)
     rotation = np.linalg.qr(np.random.default_rng(11).normal(size=(d, d)))[0]
