@@ -52,7 +52,6 @@ def shared_dir(spark: SparkSession) -> str:
         found = at.get() if at.isDefined() else None
     if not found:
         found = f"file://{tempfile.gettempdir()}/tidelog-scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
