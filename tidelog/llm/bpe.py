@@ -11,14 +11,15 @@ table gives an empty result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pick, slices
-from .tokenizer import load, vocabulary
+from .tokenizer import Bpe, load, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -32,24 +33,48 @@ def _ids_array(docs: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(docs), np.int32)))
 
 
-def _decode_column(bpe, column: pa.ListArray) -> pa.Array:
-    names = bpe.by_id
-    return pa.array([" ".join([names[i] for i in ids if i in names]) if ids else "" for ids in column.to_pylist()], pa.string())
+def _decode_column(bpe: Bpe, column: pa.ListArray) -> pa.Array:
+    names = _names(bpe)
+    column = column.fill_null([]) if column.null_count else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if column.flatten().null_count or (len(flat) and not 0 <= flat.min() <= flat.max() < len(names)):
+        return pa.array([" ".join([bpe.by_id[i] for i in ids if i in bpe.by_id]) for ids in column.to_pylist()], pa.string())
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    words = names[flat].tolist()
+    return pa.array([" ".join(words[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)], pa.string())
 
 
-def encode(df: DataFrame, vocabulary_path: str | None = None, *, decode_too: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids of every row; with ``decode_too`` also the text that the ids decode to, in the same pass."""
+@lru_cache(4)
+def _names(bpe: Bpe) -> np.ndarray:
+    """Token by id, up to the first id without one."""
+    known = 0
+    while known in bpe.by_id:
+        known += 1
+    return np.array([bpe.by_id[i] for i in range(known)], object)
+
+
+def encode(
+    df: DataFrame, vocabulary_path: str | None = None, *, decode_too: bool = False, derive: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, derived_ddl: str = "",
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id and ids of every row; with ``decode_too`` also the text that the ids decode to, in the same pass.
+
+    derive: what to make of these columns, batch by batch, where the caller wants less than ids and texts back;
+    its columns are those of ``derived_ddl``.
+    """
     path = vocabulary_path or vocabulary(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1 << 20):
             ids = _ids_array([bpe.id_bytes(x or "") for x in batch.column(1).to_pylist()])
             columns = [batch.column(0), ids]
-            yield pa.RecordBatch.from_arrays([*columns, _decode_column(bpe, ids)], schema=_BOTH) if decode_too else pa.RecordBatch.from_arrays(columns, schema=_IDS)
+            out = pa.RecordBatch.from_arrays([*columns, _decode_column(bpe, ids)], schema=_BOTH) if decode_too else pa.RecordBatch.from_arrays(columns, schema=_IDS)
+            yield derive(out) if derive else out
 
     rows = pick(df, doc_id=id_col, text=text_col)
-    return rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode_too)
+    ddl = derived_ddl if derive else "doc_id long, ids array<int>" + ", decoded string" * decode_too
+    return rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, ddl)
 
 
 def decode(df: DataFrame, vocabulary_path: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +23,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def bpe_digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id, n_tokens and the SHA-256 of ids and decoded text of (doc_id, ids, decoded)."""
+    ids = batch.column("ids")
+    ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    numbers = list(map(str, ids.flatten().to_pylist()))
+    texts = batch.column("decoded").to_pylist()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    spans = list(zip([0, *ends], ends, strict=False))
+    made = [pa.array([hi - lo for lo, hi in spans], pa.int64()), pa.array([digest(" ".join(numbers[lo:hi])) for lo, hi in spans]), pa.array(map(digest, texts), pa.string())]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded again; digests of both are made in the JVM."""
-    both = bpe.encode(table(spark, sf_dir, "documents"), decode_too=True)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """Every document encoded and decoded again; digests of the operator's ids and texts."""
+    return bpe.encode(table(spark, sf_dir, "documents"), decode_too=True, derive=bpe_digests, derived_ddl="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
