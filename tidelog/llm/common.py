@@ -88,6 +88,11 @@ def discard(*paths: str) -> None:
         _made.remove((spark, path))
 
 
+def scratch() -> set[str]:
+    """Folders of all scratch tables that there are now."""
+    return {p for _, p in _made}
+
+
 def paths(df: DataFrame) -> list[str]:
     """Folders of the scratch tables that a plan reads directly."""
     return sorted({p for f in df.inputFiles() for _, p in _made if f.rsplit("/", 1)[0].endswith(p.split(":", 1)[-1])})

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, paths, pick, slices
+from .common import discard, materialize, paths, pick, scratch, slices
 from .components import components, forest_roots
 
 PERMS, BANDS, ROWS, BITS = 768, 42, 6, 2
@@ -220,27 +220,34 @@ def confirm(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, th
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("a_cls").alias("cls")).union(pairs.select(F.col("b_cls").alias("cls"))).distinct()
     wanted = materialize(wanted.join(classes.select("cls", "low"), "cls"), "wanted")
-    ids = wanted.select(F.col("low").alias("w_id"))
-    small = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(ids.distinct()) if small else ids, F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    # a doc_id may stand for several texts: keep the sets that were asked for, each once
-    sets = full_sets(texts.select("text"), size).join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
-    sets = materialize(sets, "sets", TEXT_ROWS)
-    a, b = (sets.select(F.col("cls").alias(p + "cls"), F.col("items").alias(p + "items")) for p in ("a_", "b_"))
+    small, n = pairs.count() <= BROADCAST_IDS, wanted.count()
+    hint = F.broadcast if small and n <= BROADCAST_IDS else _same
+    texts = rows.join(hint(wanted.select(F.col("low").alias("w_id")).distinct()), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    sets = materialize(full_sets(texts.select("text"), size).join(hint(wanted.select("cls")), "cls", "left_semi"), "sets", TEXT_ROWS)
+    if sets.count() > n:  # a doc_id stands for several rows
+        sets = materialize(sets.groupBy("cls").agg(F.first("items").alias("items")), "sets")
+    # pairs are narrow and sets wide: with the pairs broadcast, the sets of one side move once and those of the other, if hubs, hardly
+    with_b = sets.select(F.col("cls").alias("b_cls"), F.col("items").alias("b_items")).join(hint(pairs), "b_cls")
+    with_a = sets.join(hint(pairs.select(F.col("a_cls").alias("cls")).distinct()), "cls", "left_semi").select(F.col("cls").alias("a_cls"), F.col("items").alias("a_items"))
     both = F.size(F.array_intersect("a_items", "b_items"))
     union = F.size("a_items") + F.size("b_items") - both
-    found = pairs.join(a, "a_cls").join(b, "b_cls").where(100 * both >= threshold * union).select("a_cls", "b_cls")
+    found = with_b.join(with_a, "a_cls").where(100 * both >= threshold * union).select("a_cls", "b_cls")
     found = materialize(found, "links")
     discard(*[p for d in (pairs, wanted, sets) for p in paths(d)])
     return found
 
 
+def _same(df: DataFrame) -> DataFrame:
+    return df
+
+
 def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id = component_id).
 
     Two documents are linked if 100 * intersection >= threshold * union of their sets of ``shingle`` words.
     """
     rows = pick(df, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text")
+    before = scratch()
     sigs = materialize(signatures(rows, shingle), "signatures", TEXT_ROWS)
     classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys")))
     classes = materialize(classes, "classes")
@@ -264,6 +271,7 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_
     named = materialize(_labelled(first, joined, "comp", "whole"), "named")
     low = materialize(named.groupBy("whole").agg(F.min("low").alias("component_id")), "lows")
     final = materialize(named.join(low, "whole").select("cls", "component_id", F.lit(True).alias("known")), "final")
+    discard(*(scratch() - before - {*paths(sigs), *paths(final)}))  # the result reads these two alone
     out = sigs.select("doc_id", "n_shingles", "cls").join(final, "cls", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -285,7 +293,10 @@ def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, threshold:
     every = F.sequence(F.lit(0), F.col("salts") - 1)
     left = inside.where("NOT main").select("key", F.col("salt").alias("sl"), F.explode(every).alias("sr"), F.lit(True).alias("left"), "cls", "comp", "main")
     right = inside.select("key", F.explode(every).alias("sl"), F.col("salt").alias("sr"), F.lit(False).alias("left"), "cls", "comp", "main")
-    rows = materialize(left.unionByName(right), "sides").join(classes.select("cls", "n_shingles", "sig", "keys"), "cls").select(_BLOCK_COLUMNS)
+    those = inside.select("cls").distinct()
+    hint = F.broadcast if those.count() <= BROADCAST_IDS else _same
+    payload = classes.select("cls", "n_shingles", "sig", "keys").join(hint(those), "cls", "left_semi")
+    rows = materialize(left.unionByName(right), "sides").join(payload, "cls").select(_BLOCK_COLUMNS)
     blocks = rows.repartition("key", "sl", "sr").sortWithinPartitions("key", "sl", "sr")
     return blocks.mapInArrow(compare_blocks(threshold), "a_cls binary, b_cls binary")
 
@@ -295,13 +306,16 @@ def keep_one(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: st
 
     Rows that repeat an id inside a group are told apart only where there are such rows: then one of them stays.
     """
+    before = scratch()
     found = near_duplicates(df, shingle=shingle, threshold=threshold, id_col=id_col, text_col=text_col)
     found = materialize(found, "found")
+    discard(*(scratch() - before - {*paths(found)}))
     gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone_id"))
     key = F.col(f"`{id_col}`").cast("long")
     repeated = found.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
     if not repeated:
-        return df.join(gone, key == F.col("_gone_id"), "left_anti")
+        few = gone.count() <= BROADCAST_IDS  # then the texts need not move
+        return df.join(F.broadcast(gone) if few else gone, key == F.col("_gone_id"), "left_anti")
     # an id names several rows: decide by row, on the text's own class
     ranked = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"))
     kept = df.join(ranked.withColumnRenamed("doc_id", "_k"), key.eqNullSafe(F.col("_k")), "left").where("_kept").drop("_k", "_kept")
