@@ -95,6 +95,39 @@ def test_keep_one(spark, planted):
     assert sorted(((r.doc_id, r.text) for r in minhash.keep_one(repeated).collect()), key=str) == [(1, "a b c d e f"), (3, "other"), (None, "nothing else")]
 
 
+def test_keep_one_decides_by_row(spark, planted):
+    """Ids that name several texts, null ids, exactly equal rows: every group keeps one row, and every text without words stays."""
+    base = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(f"{x}{w}" for w in base) for x in "abc")
+    rows = [(5, a), (7, a + " more"), (3, b), (5, b + " more"), (5, "  "), (5, "  "), (7, None), (None, c), (None, c + " more"), (None, c), (None, "alone"), (9, "twice"), (9, "twice"), (8, "near")]
+    rows += [(4, "one two"), (4, "One  Two"), *[(d if d is None or d % 3 else 2, t) for d, t in planted]]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, other string").repartition(4)
+    got = Counter((r.doc_id, r.text) for r in minhash.keep_one(df).collect())
+    assert got[5, a] == got[3, b] == got[None, "alone"] == got[9, "twice"] == 1 and got[5, "  "] == 2 and got[7, None] == 3
+    assert not got[7, a + " more"] and not got[5, b + " more"] and got[None, c] + got[None, c + " more"] == 1
+    sets = [shingles(t, 5) for _, t in rows]
+    groups, members = groups_of(sets), defaultdict(list)
+    for g, x, row in zip(groups, sets, rows, strict=True):
+        if x:
+            members[g].append(row)
+    assert sum(got.values()) == len(members) + sum(not x for x in sets)
+    for those in members.values():
+        least = min((d for d, _ in those if d is not None), default=None)
+        assert any(got[d, t] for d, t in those if d == least)
+
+
+def groups_of(sets, threshold=80):
+    """A group number for each set, over all pairs."""
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if both and group[i] != group[j] and 100 * both >= threshold * (len(x) + len(sets[j]) - both):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "x", 1, 2, 3)], "doc_id long, text string, n_shingles int, component_id int, key int")
     assert [tuple(r) for r in minhash.near_duplicates(df).collect()] == [(1, 1, 1, True)]

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, paths, pick, scratch, slices
@@ -47,8 +47,8 @@ TEXT_ROWS = 500
 #: Members of one side of a block.
 BLOCK = 1024
 
-_SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_SIG_DDL = "doc_id long, n_shingles long, cls binary, sig binary, keys array<long>"
+_SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIG_DDL = "doc_id long, digest binary, n_shingles long, cls binary, sig binary, keys array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ def class_of(items: np.ndarray) -> bytes | None:
 
 
 def signatures(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class, packed signature and band keys of (doc_id, text) rows."""
+    """doc_id, digest, n_shingles, class, packed signature and band keys of (doc_id, text, digest) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
@@ -139,9 +139,9 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
             low = np.stack([minima(s) for s in sets])
             sig = pa.array([row.tobytes() for row in pack(low)], pa.binary())
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(low).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), sig, keys], schema=_SIG_SCHEMA)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), sig, keys], schema=_SIG_SCHEMA)
 
-    return rows.selectExpr("doc_id", "CAST(text AS BINARY) AS text").mapInArrow(run, _SIG_DDL)
+    return rows.selectExpr("doc_id", "CAST(text AS BINARY) AS text", "digest").mapInArrow(run, _SIG_DDL)
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -246,10 +246,21 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_
 
     Two documents are linked if 100 * intersection >= threshold * union of their sets of ``shingle`` words.
     """
-    rows = pick(df, doc_id=id_col, text=text_col).selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text")
+    sigs, final = _grouped(pick(df, doc_id=id_col, text=text_col).withColumn("digest", F.lit(None).cast("binary")), shingle, threshold)
+    out = sigs.select("doc_id", "n_shingles", "cls").join(final.select("cls", F.col("first.doc_id").alias("component_id"), F.lit(True).alias("known")), "cls", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(rows: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of (doc_id, text, digest) rows; and of each class of texts (cls, first, n_rows) of its component.
+
+    first is the component's row (unnamed, doc_id, digest) that is smallest, null ids last; n_rows counts its rows.
+    """
+    rows = rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text", "digest")
     before = scratch()
     sigs = materialize(signatures(rows, shingle), "signatures", TEXT_ROWS)
-    classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys")))
+    classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"), F.count("*").alias("n_rows"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys")))
     classes = materialize(classes, "classes")
     bands = classes.select("cls", F.explode("keys").alias("key"))
     shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -264,17 +275,15 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_
     common = members.join(hubs, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n")).where(F.col("n") >= HUB_BANDS)
     star = common.groupBy("cls").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("best.hub").alias("a_cls"), F.col("cls").alias("b_cls"))
     roots = forest_roots(confirm(star, rows, classes, shingle, threshold).select(F.col("b_cls").alias("node"), F.col("a_cls").alias("parent")))
-    first = _labelled(classes.select("cls", "low"), roots)
+    first = _labelled(classes.select("cls", "first", "n_rows"), roots)
     across = confirm(_across(members, classes, roots, threshold), rows, classes, shingle, threshold)
     ends = _labelled(_labelled(across, roots, "a_cls", "a"), roots, "b_cls", "b")
     joined = components(ends.select("a", "b"))
     named = materialize(_labelled(first, joined, "comp", "whole"), "named")
-    low = materialize(named.groupBy("whole").agg(F.min("low").alias("component_id")), "lows")
-    final = materialize(named.join(low, "whole").select("cls", "component_id", F.lit(True).alias("known")), "final")
+    whole = materialize(named.groupBy("whole").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows")), "wholes")
+    final = materialize(named.select("cls", "whole").join(whole, "whole").select("cls", "first", "n_rows"), "final")
     discard(*(scratch() - before - {*paths(sigs), *paths(final)}))  # the result reads these two alone
-    out = sigs.select("doc_id", "n_shingles", "cls").join(final, "cls", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return sigs, final
 
 
 def _labelled(df: DataFrame, labels: DataFrame, column: str = "cls", label: str = "comp") -> DataFrame:
@@ -301,22 +310,36 @@ def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, threshold:
     return blocks.mapInArrow(compare_blocks(threshold), "a_cls binary, b_cls binary")
 
 
+def _digest(text: str) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(F.col(text).cast("string").cast("binary"), 256)), 1, 16)
+
+
 def keep_one(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all their columns, without near duplicates: of each group the row with the smallest id stays.
 
-    Rows that repeat an id inside a group are told apart only where there are such rows: then one of them stays.
+    A row is its id (null or not) and its text, so one id may stay with one text and go with another. Of several texts
+    of a group under its smallest id the one with the smallest digest stays, of exactly equal rows any one. Rows without
+    words all stay.
     """
+    key = F.col(f"`{id_col}`").cast("long")
+    digest = _digest(f"`{text_col}`")
     before = scratch()
-    found = near_duplicates(df, shingle=shingle, threshold=threshold, id_col=id_col, text_col=text_col)
-    found = materialize(found, "found")
+    sigs, final = _grouped(pick(df, doc_id=id_col, text=text_col).withColumn("digest", _digest("text")), shingle, threshold)
+    crowded = final.where("n_rows > 1").select("cls", "first")
+    hint = F.broadcast if crowded.count() <= BROADCAST_IDS else _same
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    found = sigs.select("doc_id", "digest", "cls").join(hint(crowded), "cls").select(F.col("doc_id").alias("_row_id"), F.col("digest").alias("_row_digest"), stays.alias("stays"))
+    found = materialize(found.groupBy("_row_id", "_row_digest", "stays").agg(F.count("*").alias("n")), "found")
     discard(*(scratch() - before - {*paths(found)}))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone_id"))
-    key = F.col(f"`{id_col}`").cast("long")
-    repeated = found.where("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
-    if not repeated:
-        few = gone.count() <= BROADCAST_IDS  # then the texts need not move
-        return df.join(F.broadcast(gone) if few else gone, key == F.col("_gone_id"), "left_anti")
-    # an id names several rows: decide by row, on the text's own class
-    ranked = found.groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    kept = df.join(ranked.withColumnRenamed("doc_id", "_k"), key.eqNullSafe(F.col("_k")), "left").where("_kept").drop("_k", "_kept")
-    return kept.dropDuplicates([id_col, text_col])
+
+    def at(those: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        few = those.count() <= BROADCAST_IDS  # then the texts need not move
+        return rows.join(F.broadcast(those) if few else those, key.eqNullSafe(F.col("_row_id")) & (digest == F.col("_row_digest")), how)
+
+    gone = found.where("NOT stays").select("_row_id", "_row_digest")
+    tied = found.where("stays AND n > 1").select("_row_id", "_row_digest")
+    if not tied.limit(1).count():
+        return at(gone, "left_anti", df)
+    single = at(gone.union(tied), "left_anti", df)
+    return single.union(at(tied, "left_semi", df).dropDuplicates([id_col, text_col]))
