@@ -95,6 +95,33 @@ def test_classifiers_tell_planted_words(models):
     assert (quality.scores(fine, [t.encode() for t in good]) > 0.5).mean() > 0.95
 
 
+@pytest.mark.parametrize("space", ["\u00a0", "\u3000", "\u2003", "-", "_", "/"])
+def test_toxic_words_count_anywhere_without_ascii_spaces(models, space):
+    toxic, _, good, _ = models
+    words = " ".join(good[:10]).split()
+    for at in (0, 300, 700):
+        bad = [*words[:at], *["nastyone", "vileword"] * 4, *words[at:]]
+        plain, joined = (toxicity.distances(toxic, [s.join(bad)])[0] for s in (" ", space))
+        assert joined.max() > 0 and joined.max() >= plain.max() / 2
+        calm = toxicity.distances(toxic, [space.join(words)])[0]
+        assert joined.max() > calm.max() and (not space.isspace() or (joined == plain).all())
+
+
+def test_windows_are_bounded_and_cover_every_piece():
+    texts = [toxicity._clean(t) for t in ("", "a b", "\u6587" * 500, "x" * 128, "y" * 129 + " z " * 30, "\u0130" * 60)]
+    for size in (1, 8, 24):
+        data, windows, first = toxicity._windows(texts, size)
+        spans = windows.astype(int).tolist()
+        assert max(n for _, n in spans) <= toxicity.LONGEST and spans == sorted(spans)
+        ends = np.cumsum([len(t) for t in texts])
+        assert [spans[i][0] for i in first] == [0, *ends[:-1]]
+        for lo, text in zip([0, *ends[:-1]], texts, strict=True):
+            for word in set(text.split()):
+                begin = lo + text.index(word)
+                for i in range(begin, begin + len(word) - toxicity.OVERLAP + 1):
+                    assert any(a <= i and i + toxicity.OVERLAP <= a + n for a, n in spans)
+
+
 def test_scores_do_not_depend_on_neighbours(models):
     toxic, fine, good, bad = models
     texts = [*good[:5], "", *bad[:5], "x" * 5000]

@@ -2,7 +2,7 @@
 
 Fitting takes a bounded sample of labelled texts. Each class gets a raw zstandard dictionary made of the segments
 that cover most of what is characteristic for it against the other class (greedy cover over word pieces). Texts are
-cut into windows at white space; every window of the whole text is compressed with both dictionaries, and the
+cut into windows at white space, and where there is none also at a fixed size, with an overlap; every window of the whole text is compressed with both dictionaries, and the
 difference of the two lengths is its distance. Bytes are doubled first, so that one word of a window outweighs what
 a compressed block costs by itself. A text's score is a logistic function of its largest distances and of how many
 windows exceed thresholds calibrated on ordinary texts.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,11 @@ from .common import pick, ship, slices
 from .logistic import fit_logistic
 
 PIECES = (5, 6, 7, 8)
-_PUNCTUATION = bytes.maketrans(b".,;:!?\"()|\n\t\r", b" " * 13)
+_PUNCTUATION = bytes.maketrans(b".,;:!?\"()|\n\t\r\v\f\x1c\x1d\x1e\x1f", b" " * 19)
+_SPACES = re.compile(r"[^\S ]")
+#: Bytes of a window at most, so that both dictionaries stay within reach (see window_log) and one word counts in it; what
+#: consecutive ones of a longer stretch without white space share, so that every piece is whole in one.
+LONGEST, OVERLAP = 128, 4 * max(PIECES)
 
 
 @dataclass(frozen=True)
@@ -63,7 +68,10 @@ class Model:
 
 
 def _clean(text: str) -> bytes:
-    return b" " + text.lower().encode().translate(_PUNCTUATION) + b" "
+    text = text.lower()
+    if not text.isascii():
+        text = _SPACES.sub(" ", text)
+    return b" " + text.encode().translate(_PUNCTUATION) + b" "
 
 
 def _word_counts(texts: list[str]) -> tuple[Counter, int]:
@@ -154,7 +162,12 @@ def _windows(texts: list[bytes], size: int) -> tuple[bytes, np.ndarray, np.ndarr
     marks = np.concatenate([np.arange(lo + size, hi, size) for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True)] or [np.empty(0, int)])
     cuts = spaces[np.searchsorted(spaces, marks)] if len(marks) else marks  # every text ends in white space
     starts = np.unique(np.r_[0, ends[:-1], cuts]).astype(np.int64)
-    stops = np.r_[starts[1:], len(a)]
+    long = np.r_[starts[1:], len(a)] - starts
+    parts = np.maximum(1, -(-(long - OVERLAP) // (LONGEST - OVERLAP)))  # of a window above the longest size
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    stops = np.repeat(starts + long, parts)
+    starts = np.repeat(starts, parts) + nth * (LONGEST - OVERLAP)
+    stops = np.minimum(stops, starts + LONGEST)
     return data, np.stack([starts, stops - starts], 1).astype(np.uint64), np.searchsorted(starts, np.r_[0, ends[:-1]])
 
 
