@@ -145,6 +145,18 @@ def test_estimate_is_collision_corrected():
         assert abs(float(minhash.similarity(x, y)) - true) < minhash.SLACK
 
 
+def test_estimate_holds_in_small_sets():
+    """At similarity 0.8 exactly, where every pair must reach the check on full sets."""
+    rng = np.random.default_rng(5)
+    for less, more, both in ((4, 5, 4), (8, 10, 8), (9, 9, 8)):
+        errors = []
+        for _ in range(1500):
+            x = rng.integers(0, 1 << 63, less + more - both, dtype=np.uint64)
+            a, b = minhash.pack(np.stack([minhash.minima(x[:less]), minhash.minima(x[len(x) - more :])]))
+            errors.append(float(minhash.similarity(a, b)) - 0.8)
+        assert min(errors) > -minhash.SLACK and np.std(errors) < 0.02, (less, more, min(errors), np.std(errors))
+
+
 def test_forest_roots(spark):
     links = [(i, i // 3) for i in range(1, 200)] + [(500, 400), (501, 500)]
     got = {r.node: r.comp for r in forest_roots(spark.createDataFrame(links, "node long, parent long")).collect()}
