@@ -1,12 +1,13 @@
 import random
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import minhash, queries
-from tidelog.llm.components import components, forest_roots
+from tidelog.llm import common, minhash, queries
+from tidelog.llm.components import components
 
 
 def shingles(text, k):
@@ -76,9 +77,11 @@ def test_planted_groups(spark, planted):
 
 
 def test_large_mixed_buckets_are_salted(spark, planted, monkeypatch):
+    """Small homes and blocks, few homes at all, and a bitmap so full that it lets nearly every row pass."""
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "HOME", 5)
     monkeypatch.setattr(minhash, "HUB_BANDS", 30)
-    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BITMAP", 64)
     df = spark.createDataFrame(planted, "doc_id long, text string")
     want = Counter((d, *v) for (d, _), v in zip(planted, brute(planted, 4), strict=True))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=4).collect()) == want
@@ -157,10 +160,72 @@ def test_estimate_holds_in_small_sets():
         assert min(errors) > -minhash.SLACK and np.std(errors) < 0.02, (less, more, min(errors), np.std(errors))
 
 
-def test_forest_roots(spark):
-    links = [(i, i // 3) for i in range(1, 200)] + [(500, 400), (501, 500)]
-    got = {r.node: r.comp for r in forest_roots(spark.createDataFrame(links, "node long, parent long")).collect()}
-    assert got == {**{i: 0 for i in range(1, 200)}, 500: 400, 501: 400}
+def variants(rng, base, size, edits):
+    """Texts that each differ from the base in ``edits`` places of their own."""
+    out = []
+    for _ in range(size):
+        words = list(base)
+        for at in rng.sample(range(len(base)), edits):
+            words[at] = f"v{rng.randrange(10**12)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_large_groups_stay_linear(spark, monkeypatch):
+    """3,000 texts alike below the threshold, and 3,000 above: links are right and no step gives more rows than it reads."""
+    rng = random.Random(9)
+    base, other = ([f"{x}{rng.randrange(10**9)}" for _ in range(200)] for x in "ab")
+    texts = variants(rng, base, 3000, 4) + variants(rng, other, 3000, 2)
+    rows = list(enumerate(texts))
+    made = []
+    real = minhash.Scratch.__call__
+    monkeypatch.setattr(minhash.Scratch, "__call__", lambda self, df, name: made.append((name, t := real(self, df, name), t.count())) or t)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=4).collect()}
+    pairs = [jaccard(texts[i], texts[j], 4) for i, j in ((rng.randrange(3000), rng.randrange(3000)) for _ in range(500)) if i != j]
+    assert sorted(pairs)[5] > 0.69 and sum(x < 0.8 for x in pairs) > 400
+    assert {c for i, (_, c) in got.items() if i >= 3000} == {3000}
+    want = by_products(texts[:3000], 4)
+    assert {i: v for i, v in got.items() if i < 3000} == dict(enumerate(want)) and len({c for _, c in want}) > 300
+    sizes = {name: n for name, _, n in made}
+    assert sizes["inside"] < 6000 + 100 and sizes["across"] < 6000
+
+
+def by_products(texts, k):
+    """(n_shingles, component) of texts by number, over all pairs: intersections as a product of membership matrices."""
+    sets = [shingles(t, k) for t in texts]
+    shared = {x: i for i, x in enumerate(x for x, n in Counter(x for s in sets for x in s).items() if n > 1)}
+    member = np.zeros((len(sets), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        member[i, [shared[x] for x in s if x in shared]] = 1
+    both, n = member @ member.T, np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(sets))
+    while ((new := np.where(linked, label, len(sets)).min(axis=1)) != label).any():
+        label = new
+    return list(zip(n.tolist(), label.tolist(), strict=True))
+
+
+def jaccard(a, b, k):
+    x, y = shingles(a, k), shingles(b, k)
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ("row_id", "_row_id", "ROW_DIGEST", "bitmap_word", "bitmap_bits", "_gone_id", "_k", "_kept", "cls", "comp", "n", "stays", "first")
+    rows = [(1, "a b c d e f", *names), (2, "a b c d e f", *names), (3, "other", *names), (3, "other", *names), (None, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (1, "a b c d e f"), (3, "other")]
+
+
+def test_two_calls_at_once(spark, planted):
+    """Scratch tables of one call are not touched by another's end."""
+    df = spark.createDataFrame(planted, "doc_id long, text string")
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda k: Counter(map(tuple, minhash.near_duplicates(df, shingle=k).select("doc_id", "n_shingles", "component_id").collect())), (4, 5))
+    for k, got in ((4, a), (5, b)):
+        assert got == Counter((d, *v) for (d, _), v in zip(planted, brute(planted, k), strict=True))
 
 
 def test_components(spark):

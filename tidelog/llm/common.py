@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
@@ -45,57 +45,67 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local one if all runs in this process; on a cluster each executor would write to a disk of its own,
+    so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = at.get() if at.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/tidelog-scratch"
     return found.rstrip("/")
 
 
-ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back, which cuts its lineage.
 
-    batch_rows: rows of the Arrow batches that Python gets meanwhile; few where texts are long, to bound memory.
-
     A lost executor loses nothing of it, and later plans read it column by column. The folder is removed when
     the driver ends, through Hadoop's file system, so any store works.
     """
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(ROWS_PER_BATCH)
-    if batch_rows:
-        spark.conf.set(ROWS_PER_BATCH, str(batch_rows))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(ROWS_PER_BATCH, before)
+    df.write.parquet(path)
     if not _made:
         atexit.register(_remove_all)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
 
+class Scratch:
+    """The scratch tables of one call; those of other calls, which may run at the same time, are not touched."""
 
-def discard(*paths: str) -> None:
-    """Remove scratch tables before the driver ends; the caller knows that no plan reads them any more."""
-    for spark, path in [x for x in _made if x[1] in paths]:
-        _delete(spark, path)
-        _made.remove((spark, path))
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
 
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        made, path = _written(df, name)
+        self.tables.append((made, path))
+        return made
 
-def scratch() -> set[str]:
-    """Folders of all scratch tables that there are now."""
-    return {p for _, p in _made}
+    def drop(self, *those: DataFrame) -> None:
+        """Remove tables that no plan reads any more."""
+        for made, path in [x for x in self.tables if any(x[0] is t for t in those)]:
+            _remove(path)
+            self.tables = [x for x in self.tables if x[1] != path]
 
+    def end(self, *kept: DataFrame) -> None:
+        """Remove all but those, which stay until the driver ends."""
+        self.drop(*[t for t, _ in self.tables if not any(t is k for k in kept)])
 
-def paths(df: DataFrame) -> list[str]:
-    """Folders of the scratch tables that a plan reads directly."""
-    return sorted({p for f in df.inputFiles() for _, p in _made if f.rsplit("/", 1)[0].endswith(p.split(":", 1)[-1])})
+
+def _remove(path: str) -> None:
+    for entry in [x for x in _made if x[1] == path]:
+        _delete(*entry)
+        _made.remove(entry)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -112,6 +122,39 @@ def _remove_all() -> None:
             return
 
 
+#: Bits of a bitmap of hashes. Its table of 64-bit words, which is broadcast, has BITMAP / 64 rows at most at any size of the data.
+BITMAP = 1 << 25
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """(bitmap_word, bitmap_bits) of a one-column table of 64-bit hashes."""
+    at = F.pmod(F.col(f"`{hashes.columns[0]}`"), F.lit(BITMAP).cast("long"))
+    words = hashes.select(F.shiftrightunsigned(at, 6).alias("bitmap_word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit"))
+    return words.groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits"))
+
+
+def filtered(df: DataFrame, bits: DataFrame, hashed: Column, inside: bool = True) -> DataFrame:
+    """Rows of ``df``, which stay where they are, that may be among the bitmap's (inside), or that surely are not.
+
+    The fuller the bitmap, the more rows pass that are not wanted; the caller joins what passes exactly. So it decides only
+    how many rows move, never which are right.
+    """
+    word, held = fresh(df, "bitmap_word"), fresh(df, "bitmap_bits")
+    at = F.pmod(hashed, F.lit(BITMAP).cast("long"))
+    words = bits.select(F.col("bitmap_word").alias(word), F.col("bitmap_bits").alias(held))
+    there = F.coalesce(F.call_function("bit_get", F.col(held), at.bitwiseAND(63).cast("int")), F.lit(0).cast("byte")) == (1 if inside else 0)
+    joined = df.join(F.broadcast(words), F.shiftrightunsigned(at, 6) == F.col(word), "inner" if inside else "left")
+    return joined.where(there).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``most`` bytes in ``column`` (one longer value stands alone)."""
     for batch in batches:

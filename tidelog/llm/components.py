@@ -5,41 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, paths
+from .common import Scratch
 
 
-def forest_roots(links: DataFrame) -> DataFrame:
-    """(node, comp) of a forest given as (node, parent), one parent a node; comp is the root. Roots themselves are left out.
-
-    Every round replaces a node's parent by that parent's parent, so paths halve.
-    """
-    now = materialize(links.select("node", F.col("parent").alias("comp")), "roots")
-    while True:
-        up = now.select(F.col("node").alias("at"), F.col("comp").alias("to"))
-        new = materialize(now.join(up, F.col("comp") == F.col("at"), "left").select("node", F.coalesce("to", "comp").alias("comp"), F.col("to").isNotNull().alias("moved")), "roots")
-        discard(*paths(now))
-        now = new.select("node", "comp")
-        if not new.where("moved").limit(1).count():
-            return now
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, comp) of every node of the edges (a, b); comp is the smallest node that can be reached.
 
     Each round takes the smallest label of the neighbours and then the label of that label. Every round is a scratch
     table of one row per node; nothing but a count goes to the driver.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
-    moved = labels.limit(1).count()
-    while moved:
+    keep = scratch or Scratch()
+    both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    table = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"), F.lit(True).alias("moved")), "labels")
+    while table.where("moved").limit(1).count():
+        labels = table.select("node", "comp")
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        step = materialize(step, "step")
+        step = keep(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "step")
         jump = step.select(F.col("node").alias("at"), F.col("comp").alias("to"))
-        new = materialize(step.join(jump, F.col("comp") == F.col("at")).select("node", F.col("to").alias("comp"), (F.col("to") != F.col("old")).alias("moved")), "labels")
-        discard(*paths(labels), *paths(step))
-        labels = new.select("node", "comp")
-        moved = new.where("moved").limit(1).count()
-    discard(*paths(both))
-    return labels
+        new = keep(step.join(jump, F.col("comp") == F.col("at")).select("node", F.col("to").alias("comp"), (F.col("to") != F.col("old")).alias("moved")), "labels")
+        keep.drop(table, step)
+        table = new
+    keep.drop(both)
+    return table.select("node", "comp")

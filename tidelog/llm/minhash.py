@@ -1,19 +1,24 @@
 """Near-duplicate documents by b-bit MinHash over word shingles, with every link confirmed on the full shingle sets.
 
-1. One pass over the texts makes 768 minima per document. Six of the first 252 at a time give 42 band keys; two
-   bits of all minima, mixed first, are packed into 192 bytes. Only these leave Python, about 550 bytes a document.
+1. One pass over the texts makes 240 minima per document; five at a time give 48 band keys, the only wide thing that leaves
+   Python, 400 bytes a document.
 2. Documents with equal shingle sets (a 128-bit digest) are one *class*; all later work is on classes, so thousands
    of copies are one row.
-3. Classes that share a band key are candidates. Each bucket has a hub, its class that shares buckets with most others;
-   every class is compared with the one hub it shares most bands with. Confirmed links form a forest, whose roots are components.
-4. Buckets that still hold several components compare the members outside their hub's component with all others, in
-   blocks of bounded size. Bit counts of two packed signatures give the share of equal bit pairs, and
-   ``(share - 1/4) / (1 - 1/4)`` estimates the similarity without the chance collisions. A pair goes on, from the first
-   bucket that it shares only, if it may reach the threshold by this estimate and by its set sizes; then full sets
-   decide. Pairs inside a component cannot change the result, so no link that matters is left out.
-
-A pair at similarity 0.8 shares no band with probability 3e-6, and its estimate is off by more than the margin (over
-4.5 standard errors of 0.0172, whatever the sizes of the sets) with 2e-6.
+3. Classes that share a band key with another are candidates. For these alone a second pass makes the packed signature (two
+   mixed bits of 768 minima) and the full set. A bitmap of bounded size says which texts to look at.
+4. Each bucket has a hub, its class that shares buckets with most others. A class is at *home* with the one hub it shares most
+   bands with. Homes are compared in parts of bounded size, the hub in every part: bit counts of two packed signatures
+   give the share of equal bit pairs, and ``(share - 1/4) / (1 - 1/4)`` estimates the similarity without the
+   chance collisions; pairs that may reach the threshold by this and by their set sizes are decided on the full sets at once.
+   A part gives a star for each component of its links, fewer rows than it has members. These make components over all.
+5. What still holds several components is compared across them: homes of many parts, and buckets of several homes. First by
+   estimate; a member that may have a link goes on, once, and full sets decide among those, again giving stars. Pairs inside a
+   component cannot change the result, so no link that matters is left out.
+
+All steps but 5 are linear in the rows. Step 5 reads a group of n classes that are alike but *below* the threshold in n / BLOCK copies.
+
+A pair at similarity 0.8 shares no band with probability 5e-9, and its estimate is off by more than the margin (over
+5.8 standard errors of 0.0172, whatever the sizes of the sets) with 4e-9.
 
 Results by case: null and empty texts, or texts of white space only, have no shingles and are linked with nothing;
 a text with fewer words than a shingle is one shingle; repeated rows are copies of each other, also under one
@@ -30,25 +35,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, materialize, paths, pick, scratch, slices
-from .components import components, forest_roots
+from .common import Scratch, bitmap, filtered, fresh, pick, slices
+from .components import components
 
-PERMS, BANDS, ROWS, BITS = 768, 42, 6, 2
+PERMS, BANDS, ROWS, BITS = 768, 48, 5, 2
 WORDS = PERMS * BITS // 64
-#: How far below the threshold an estimate may be for the pair to be confirmed or ruled out on full sets.
-SLACK = 0.08
-#: A class is compared with a hub of at least so many common bands; what this misses is left to the comparison in blocks.
+#: How far below the threshold an estimate may be for the pair to be decided on full sets.
+SLACK = 0.1
+#: A class is at home with a hub of at least so many common bands; what this misses is left to the comparison across homes.
 HUB_BANDS = 3
-#: Candidate ids up to this number are broadcast to find their texts (about 50 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Texts of an Arrow batch.
-TEXT_ROWS = 500
-#: Members of one side of a block.
-BLOCK = 1024
+#: Members of a part of a home, and of one side of a block across components; and shingles of either, in the mean.
+HOME, BLOCK, ITEMS = 256, 512, 1 << 21
 
-_SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_SIG_DDL = "doc_id long, digest binary, n_shingles long, cls binary, sig binary, keys array<long>"
+_SIG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIG_DDL = "doc_id long, digest binary, n_shingles long, cls binary, keys array<long>"
+_SET_SCHEMA = pa.schema([("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("keys", pa.binary()), ("items", pa.list_(pa.int64()))])
+_SET_DDL = "cls binary, n_shingles long, sig binary, keys binary, items array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,12 +105,12 @@ _A = (_RNG.integers(0, 1 << 31, PERMS, dtype=np.uint64) * 2 + 1).astype(np.uint3
 _B = _RNG.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
 
 
-def minima(items: np.ndarray) -> np.ndarray:
-    """The minima of a set, in blocks, so that memory does not follow the text's length."""
-    low = np.full(PERMS, 0xFFFFFFFF, np.uint32)
+def minima(items: np.ndarray, count: int = PERMS) -> np.ndarray:
+    """The first ``count`` minima of a set, in blocks, so that memory does not follow the text's length."""
+    low = np.full(count, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(items), 256):
-        x = (items[i : i + 256] >> np.uint64(32)).astype(np.uint32)[:, None] * _A
-        x += _B
+        x = (items[i : i + 256] >> np.uint64(32)).astype(np.uint32)[:, None] * _A[:count]
+        x += _B[:count]
         np.minimum(low, x.min(axis=0), out=low)
     return low
 
@@ -144,114 +148,210 @@ def class_of(items: np.ndarray) -> bytes | None:
 
 
 def signatures(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, digest, n_shingles, class, packed signature and band keys of (doc_id, text, digest) rows."""
+    """doc_id, digest, n_shingles, class and band keys (none without shingles) of (doc_id, text, digest) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 1 << 20):
             sets = shingle_sets(batch.column(1).to_pylist(), size)
-            low = np.stack([minima(s) for s in sets])
-            sig = pa.array([row.tobytes() for row in pack(low)], pa.binary())
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(low).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), sig, keys], schema=_SIG_SCHEMA)
+            full = [s for s in sets if len(s)]
+            offsets = np.zeros(len(sets) + 1, np.int32)
+            np.cumsum([BANDS if len(s) else 0 for s in sets], out=offsets[1:])
+            flat = band_keys(np.stack([minima(s, BANDS * ROWS) for s in full])).reshape(-1) if full else np.empty(0, np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary()), keys], schema=_SIG_SCHEMA)
 
     return rows.selectExpr("doc_id", "CAST(text AS BINARY) AS text", "digest").mapInArrow(run, _SIG_DDL)
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
-    """cls and the sorted shingle hashes of (doc_id, text) rows."""
-    schema = pa.schema([("cls", pa.binary()), ("items", pa.list_(pa.int64()))])
+    """Class, size, packed signature, band keys and the sorted shingle hashes of the texts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, 1 << 20):
-            sets = shingle_sets(batch.column(0).to_pylist(), size)
+            sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size) if len(s)]
+            if not sets:
+                continue
+            low = np.stack([minima(s) for s in sets])
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=offsets[1:])
-            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.binary()), items], schema=schema)
+            columns = [pa.array(map(class_of, sets), pa.binary()), pa.array(offsets[1:] - offsets[:-1], pa.int64())]
+            columns += [pa.array([row.tobytes() for row in m], pa.binary()) for m in (pack(low), band_keys(low))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))], schema=_SET_SCHEMA)
+
+    return rows.selectExpr("CAST(text AS BINARY) AS text").mapInArrow(run, _SET_DDL)
+
+
+class Blocks:
+    """Partition function over rows that lie block by block: ``work(table of one block)`` gives rows, if any.
+
+    block: the columns that name a block; no more than one block and one batch are held at a time.
+    """
+
+    def __init__(self, block: list[str], work):
+        self.block, self.work = block, work
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the block that has not ended
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in self.block), strict=True))
+            start = 0
+            for i in range(len(names)):
+                if names[i] != last:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        yield from self.work(pa.Table.from_batches(held).combine_chunks())
+                    held, start, last = [], i, names[i]
+            held.append(batch.slice(start))
+        if held:
+            yield from self.work(pa.Table.from_batches(held).combine_chunks())
+
+
+class Forest:
+    """Union-find over the members of a block."""
+
+    def __init__(self, labels: list):
+        first: dict = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
+        self.first = list(first.values())
+
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.root(j)] = self.root(i)
+
+    def star(self) -> list[tuple[int, int]]:
+        """What has been joined, as (root, member), one for each label but the root's."""
+        return [(r, i) for i in self.first if (r := self.root(i)) != i]
+
+
+def _signatures(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+class Sets:
+    """The sets of a block, numbered anew, so that one intersection is a look-up and a count."""
+
+    def __init__(self, t: pa.Table):
+        column = t["items"].combine_chunks()
+        column = column if isinstance(column, pa.ListArray) else pa.concat_arrays(column.chunks)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        every, codes = np.unique(flat, return_inverse=True)
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        self.codes = np.split(codes.astype(np.int32), ends)
+        self.marks = np.zeros(len(every), bool)
+
+    def linked(self, i: int, those: np.ndarray, threshold: int, forest: Forest) -> Iterator[int]:
+        """Members of ``those`` that reach the threshold with ``i``; what has the same root by then is left out."""
+        mine = self.codes[i]
+        self.marks[mine] = True
+        for j in those.tolist():
+            if forest.root(i) != forest.root(j):
+                other = self.codes[j]
+                both = int(np.count_nonzero(self.marks[other]))
+                if 100 * both >= threshold * (len(mine) + len(other) - both):
+                    yield j
+        self.marks[mine] = False
+
+
+_PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_PAIR_DDL = "a binary, b binary"
+
+
+def _edges(found: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], schema=_PAIR)
+
+
+def at_home(threshold: int):
+    """All pairs of a part of a home; its rows hold the hub first."""
 
-    return rows.selectExpr("CAST(text AS BINARY) AS text").mapInArrow(run, "cls binary, items array<long>")
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows < 2:
+            return
+        cls, n, sig, sets = t["cls"].to_pylist(), t["n_shingles"].to_numpy(), _signatures(t), Sets(t)
+        forest = Forest(cls)
+        for i in range(len(cls) - 1):
+            fit = 100 * np.minimum(n[i], n[i + 1 :]) >= threshold * np.maximum(n[i], n[i + 1 :])
+            fit &= similarity(sig[i][None, :], sig[i + 1 :]) >= threshold / 100 - SLACK
+            for j in sets.linked(i, i + 1 + np.flatnonzero(fit), threshold, forest):
+                forest.join(i, j)
+        yield from _edges([(cls[i], cls[j]) for i, j in forest.star()])
 
+    return work
 
-_PAIR = pa.schema([("a_cls", pa.binary()), ("b_cls", pa.binary())])
-_BLOCK_COLUMNS = ["key", "sl", "sr", "left", "cls", "comp", "main", "n_shingles", "sig", "keys"]
 
+_FLAG_DDL = "grp binary, sl int, sr int, left boolean, cls binary, comp binary, fam binary"
+_FLAG = pa.schema([("grp", pa.binary()), ("sl", pa.int32()), ("sr", pa.int32()), ("left", pa.bool_()), ("cls", pa.binary()), ("comp", pa.binary()), ("fam", pa.binary())])
 
-def compare_blocks(threshold: int):
-    """Partition function over rows sorted by block (key, sl, sr): likely pairs of a left and a right member.
 
-    A block is at most BLOCK rows of either side and is compared in slabs of a few megabytes.
+def may_link(threshold: int):
+    """The members of a block that by estimate may be linked with one of the other side and another component.
+
+    A pair counts in the first bucket that it shares only; not if both are of one home, unless the block is of a home (key is null).
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now])
-            block = np.stack([held[c].to_numpy() for c in ("key", "sl", "sr")])
-            cuts = np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1
-            if len(cuts):
-                yield from _compare(held.slice(0, cuts[-1]).combine_chunks(), threshold)
-                held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield from _compare(held.combine_chunks(), threshold)
-
-    return run
-
-
-def _compare(t: pa.Table, threshold: int) -> Iterator[pa.RecordBatch]:
-    block = np.stack([t[c].to_numpy() for c in ("key", "sl", "sr")])
-    edges = np.r_[0, np.flatnonzero((block[:, 1:] != block[:, :-1]).any(axis=0)) + 1, t.num_rows]
-    left, n, key, main = t["left"].to_numpy(), t["n_shingles"].to_numpy(), block[0], t["main"].to_numpy()
-    cls = t["cls"].to_pylist()
-    codes: dict[bytes, int] = {}
-    comp = np.array([codes.setdefault(c, len(codes)) for c in t["comp"].to_pylist()])
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(-1, WORDS)
-    keys = np.array(t["keys"].to_pylist(), np.int64).reshape(-1, BANDS)
-    found: list[tuple[bytes, bytes]] = []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        ours, theirs = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = t["left"].to_numpy()
+        ours, theirs = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(ours) or not len(theirs):
-            continue
-        step = max(1, (8 << 20) // (len(theirs) * WORDS * 8))
-        for k in range(0, len(ours), step):
-            some = ours[k : k + step]
-            small, large = np.minimum(n[some][:, None], n[theirs]), np.maximum(n[some][:, None], n[theirs])
-            fit = (comp[some][:, None] != comp[theirs]) & (100 * small >= threshold * large)
-            fit &= similarity(sig[some][:, None, :], sig[theirs][None, :, :]) >= threshold / 100 - SLACK
-            for i, j in zip(*np.nonzero(fit), strict=True):
-                a, b = some[i], theirs[j]
-                # once a pair: if neither is in the hub's component the smaller class is left; and in the first common bucket
-                if (main[b] or cls[a] < cls[b]) and keys[a][np.argmax(keys[a] == keys[b])] == key[a]:
-                    found.append((min(cls[a], cls[b]), max(cls[a], cls[b])))
-    if found:
-        a, b = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=_PAIR)
-
-
-def confirm(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Those of the distinct (a_cls, b_cls) pairs whose full sets reach the threshold."""
-    pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a_cls").alias("cls")).union(pairs.select(F.col("b_cls").alias("cls"))).distinct()
-    wanted = materialize(wanted.join(classes.select("cls", "low"), "cls"), "wanted")
-    small, n = pairs.count() <= BROADCAST_IDS, wanted.count()
-    hint = F.broadcast if small and n <= BROADCAST_IDS else _same
-    texts = rows.join(hint(wanted.select(F.col("low").alias("w_id")).distinct()), F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    sets = materialize(full_sets(texts.select("text"), size).join(hint(wanted.select("cls")), "cls", "left_semi"), "sets", TEXT_ROWS)
-    if sets.count() > n:  # a doc_id stands for several rows
-        sets = materialize(sets.groupBy("cls").agg(F.first("items").alias("items")), "sets")
-    # pairs are narrow and sets wide: with the pairs broadcast, the sets of one side move once and those of the other, if hubs, hardly
-    with_b = sets.select(F.col("cls").alias("b_cls"), F.col("items").alias("b_items")).join(hint(pairs), "b_cls")
-    with_a = sets.join(hint(pairs.select(F.col("a_cls").alias("cls")).distinct()), "cls", "left_semi").select(F.col("cls").alias("a_cls"), F.col("items").alias("a_items"))
-    both = F.size(F.array_intersect("a_items", "b_items"))
-    union = F.size("a_items") + F.size("b_items") - both
-    found = with_b.join(with_a, "a_cls").where(100 * both >= threshold * union).select("a_cls", "b_cls")
-    found = materialize(found, "links")
-    discard(*[p for d in (pairs, wanted, sets) for p in paths(d)])
-    return found
-
-
-def _same(df: DataFrame) -> DataFrame:
-    return df
+            return
+        n, sig, key = t["n_shingles"].to_numpy(), _signatures(t), t["key"][0].as_py()
+        keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int64).reshape(-1, BANDS)
+        numbers: dict[bytes, int] = {}
+        comp, fam, cls = (np.array([numbers.setdefault(x, len(numbers)) for x in t[c].to_pylist()]) for c in ("comp", "fam", "cls"))
+        inner = t["inner"].to_numpy()
+        flagged = np.zeros(t.num_rows, bool)
+        for i in ours:
+            fit = (comp[i] != comp[theirs]) & (100 * np.minimum(n[i], n[theirs]) >= threshold * np.maximum(n[i], n[theirs]))
+            fit &= ~inner[theirs] | (cls[i] < cls[theirs])  # both on the left in some block: once a pair
+            if key is not None:
+                fit &= (fam[i] != fam[theirs]) & (fam[i] != cls[theirs]) & (cls[i] != fam[theirs])
+            at = theirs[fit]
+            at = at[similarity(sig[i][None, :], sig[at]) >= threshold / 100 - SLACK]
+            if key is not None and len(at):
+                same = keys[i] == keys[at]
+                at = at[keys[i][np.argmax(same, axis=1)] == key]
+            if len(at):
+                flagged[i] = True
+                flagged[at] = True
+        if flagged.any():
+            yield from t.filter(pa.array(flagged)).select(_FLAG.names).cast(_FLAG).to_batches()
+
+    return work
+
+
+def across(threshold: int):
+    """Links of a block's left members with others of another component: one row less than the components that they join."""
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = t["left"].to_numpy()
+        ours, theirs = np.flatnonzero(side), np.flatnonzero(~side)
+        if not len(ours) or not len(theirs):
+            return
+        cls, n, sig, sets = t["cls"].to_pylist(), t["n_shingles"].to_numpy(), _signatures(t), Sets(t)
+        forest = Forest(t["comp"].to_pylist())
+        for i in ours.tolist():
+            fit = 100 * np.minimum(n[i], n[theirs]) >= threshold * np.maximum(n[i], n[theirs])
+            fit &= similarity(sig[i][None, :], sig[theirs]) >= threshold / 100 - SLACK
+            for j in sets.linked(i, theirs[fit], threshold, forest):
+                forest.join(i, j)
+        yield from _edges([(cls[i], cls[j]) for i, j in forest.star()])
+
+    return work
+
+
+def in_blocks(rows: DataFrame, block: list[str], work, ddl: str, *inside: Column) -> DataFrame:
+    """``work`` on every block of ``rows``, whose rows come in the order of ``inside``."""
+    return rows.repartition(*block).sortWithinPartitions(*block, *inside).mapInArrow(Blocks(block, work), ddl)
 
 
 def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,62 +365,102 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _hash(column: str) -> Column:
+    return F.xxhash64(F.col(column))
+
+
 def _grouped(rows: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures of (doc_id, text, digest) rows; and of each class of texts (cls, first, n_rows) of its component.
+    """The signatures of (doc_id, text, digest) rows; and of each class that is not alone (cls, first, n_rows) of its component.
 
     first is the component's row (unnamed, doc_id, digest) that is smallest, null ids last; n_rows counts its rows.
     """
+    keep = Scratch()
     rows = rows.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text", "digest")
-    before = scratch()
-    sigs = materialize(signatures(rows, shingle), "signatures", TEXT_ROWS)
-    classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"), F.count("*").alias("n_rows"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys")))
-    classes = materialize(classes, "classes")
-    bands = classes.select("cls", F.explode("keys").alias("key"))
-    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    few = shared.count() <= BROADCAST_IDS
-    members = materialize(bands.join(F.broadcast(shared) if few else shared, "key"), "members")
+    sigs = keep(signatures(rows, shingle), "signatures")
+    classes = sigs.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    classes = keep(classes, "classes")
+    bands = classes.select("cls", "n_shingles", F.explode("keys").alias("key"))
+    shared = keep(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = filtered(bands, bitmap(shared.select("key")), F.col("key")).join(shared, "key")
     # a class in many and large buckets is central: it is the hub of its buckets
-    degree = materialize(members.groupBy("cls").agg(F.sum("n").alias("degree")), "degree")
-    members = materialize(members.join(degree, "cls").select("key", "n", "cls", F.struct("degree", F.xxhash64("cls").alias("h")).alias("rank")), "ranked")
-    hubs = materialize(members.groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub")), "hubs")
-
-    # a hub's rank is above its members', so one link for each class makes a forest
-    common = members.join(hubs, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n")).where(F.col("n") >= HUB_BANDS)
-    star = common.groupBy("cls").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("best.hub").alias("a_cls"), F.col("cls").alias("b_cls"))
-    roots = forest_roots(confirm(star, rows, classes, shingle, threshold).select(F.col("b_cls").alias("node"), F.col("a_cls").alias("parent")))
-    first = _labelled(classes.select("cls", "first", "n_rows"), roots)
-    across = confirm(_across(members, classes, roots, threshold), rows, classes, shingle, threshold)
-    ends = _labelled(_labelled(across, roots, "a_cls", "a"), roots, "b_cls", "b")
-    joined = components(ends.select("a", "b"))
-    named = materialize(_labelled(first, joined, "comp", "whole"), "named")
-    whole = materialize(named.groupBy("whole").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows")), "wholes")
-    final = materialize(named.select("cls", "whole").join(whole, "whole").select("cls", "first", "n_rows"), "final")
-    discard(*(scratch() - before - {*paths(sigs), *paths(final)}))  # the result reads these two alone
+    degree = F.sum("n").over(Window.partitionBy("cls"))
+    members = keep(members.select("key", "cls", "n_shingles", F.struct(degree.alias("degree"), _hash("cls").alias("h")).alias("rank")), "members")
+    sets = keep(_candidate_sets(rows, classes, members, shingle), "sets")
+    homes = keep(_homes(members), "homes")
+    inside = in_blocks(homes.join(sets, "cls").select("fam", "part", "hub", "cls", "n_shingles", "sig", "items"), ["fam", "part"], at_home(threshold), _PAIR_DDL, F.col("hub").desc())
+    roots = components(keep(inside, "inside"), keep)
+    wider = keep(_across(members, homes, sets, roots, threshold, keep), "across")
+    ends = _labelled(_labelled(wider.select(F.col("a").alias("a_cls"), F.col("b").alias("b_cls")), roots, "a_cls", "a"), roots, "b_cls", "b")
+    joined = components(ends.select("a", "b"), keep)
+    named = keep(_labelled(_labelled(classes.select("cls", "first", "n_rows"), roots), joined, "comp", "whole").select("cls", "whole", "first", "n_rows"), "named")
+    whole = named.groupBy("whole").agg(F.min("first").alias("first"), F.sum("n_rows").alias("n_rows")).where("n_rows > 1")
+    final = keep(named.select("cls", "whole").join(keep(whole, "wholes"), "whole").select("cls", "first", "n_rows"), "final")
+    keep.end(sigs, final)  # the result reads these two alone
     return sigs, final
 
 
+def _candidate_sets(rows: DataFrame, classes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """The full sets of classes that share a bucket, from one of their rows each.
+
+    Texts whose id is surely none of these stay where they are and are not cut into words again.
+    """
+    those = members.select("cls").distinct()
+    ids = those.join(classes.select("cls", F.xxhash64("first.doc_id").alias("h")), "cls").select("h")
+    found = full_sets(filtered(rows, bitmap(ids), _hash("doc_id")).select("text"), shingle)
+    found = filtered(found, bitmap(those.select(_hash("cls"))), _hash("cls"))
+    one = found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "sig", "keys", "items")))
+    return one.join(those, "cls", "left_semi")
+
+
+def _homes(members: DataFrame) -> DataFrame:
+    """(fam, part, cls, hub): each class with the hub it shares most bands with, and the hub in every part of its home."""
+    hubs = members.groupBy("key").agg(F.max(F.struct("rank", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("fam"), F.col("hub.rank").alias("fam_rank"))
+    common = members.join(hubs, "key").where("cls <> fam").groupBy("cls", "fam", "fam_rank", "n_shingles").agg(F.count("*").alias("n")).where(F.col("n") >= HUB_BANDS)
+    best = common.groupBy("cls", "n_shingles").agg(F.max(F.struct("n", "fam_rank", "fam")).alias("best")).select("cls", "n_shingles", F.col("best.fam").alias("fam"))
+    parts = F.ceil(F.greatest(F.count("*") / HOME, F.sum("n_shingles") / ITEMS)).cast("int")
+    sizes = best.groupBy("fam").agg(parts.alias("parts"))
+    own = best.join(sizes, "fam").select("fam", F.pmod(_hash("cls"), F.col("parts")).cast("int").alias("part"), "cls", F.lit(False).alias("hub"), "parts")
+    led = sizes.select("fam", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("fam").alias("cls"), F.lit(True).alias("hub"), "parts")
+    return own.union(led)
+
+
 def _labelled(df: DataFrame, labels: DataFrame, column: str = "cls", label: str = "comp") -> DataFrame:
     """``df`` with the component of a node column; a node without links is its own component."""
     named = labels.select(F.col("node").alias(column), F.col("comp").alias(label))
     return df.join(named, column, "left").withColumn(label, F.coalesce(label, column))
 
 
-def _across(members: DataFrame, classes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs of different components that share a bucket, each once."""
-    members = materialize(_labelled(members, roots), "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rank", "cls", "comp")).alias("hub"), F.max("n").alias("n"))
-    mixed = materialize(mixed.where("lo <> hi").select("key", F.col("hub.comp").alias("hub_comp"), F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")), "mixed")
-    inside = members.join(mixed, "key").select("key", "cls", "comp", (F.col("comp") == F.col("hub_comp")).alias("main"), "salts", F.pmod("rank.h", F.col("salts")).cast("int").alias("salt"))
-    inside = materialize(inside, "inside")
-    every = F.sequence(F.lit(0), F.col("salts") - 1)
-    left = inside.where("NOT main").select("key", F.col("salt").alias("sl"), F.explode(every).alias("sr"), F.lit(True).alias("left"), "cls", "comp", "main")
-    right = inside.select("key", F.explode(every).alias("sl"), F.col("salt").alias("sr"), F.lit(False).alias("left"), "cls", "comp", "main")
-    those = inside.select("cls").distinct()
-    hint = F.broadcast if those.count() <= BROADCAST_IDS else _same
-    payload = classes.select("cls", "n_shingles", "sig", "keys").join(hint(those), "cls", "left_semi")
-    rows = materialize(left.unionByName(right), "sides").join(payload, "cls").select(_BLOCK_COLUMNS)
-    blocks = rows.repartition("key", "sl", "sr").sortWithinPartitions("key", "sl", "sr")
-    return blocks.mapInArrow(compare_blocks(threshold), "a_cls binary, b_cls binary")
+def _across(members: DataFrame, homes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int, keep: Scratch) -> DataFrame:
+    """Links between components, as stars of each block."""
+    at = homes.where("NOT hub").select("cls", "fam")
+    buckets = _labelled(members.select("key", "cls", "n_shingles"), roots).join(at, "cls", "left").select(F.unhex(F.hex("key")).alias("grp"), "key", "cls", "comp", F.coalesce("fam", "cls").alias("fam"), "n_shingles")
+    large = homes.where("parts > 1 AND NOT hub").join(sets.select("cls", "n_shingles"), "cls").select(F.col("fam").alias("grp"), F.lit(None).cast("long").alias("key"), "cls", "fam", "n_shingles")
+    large = _labelled(large, roots).select("grp", "key", "cls", "comp", F.col("cls").alias("fam"), "n_shingles")
+    rows = keep(buckets.union(large), "groups")
+
+    def most(column: str) -> DataFrame:
+        """Of each group the commonest value and how many rows have another one."""
+        counts = rows.groupBy("grp", column).agg(F.count("*").alias("n"))
+        found = counts.groupBy("grp").agg(F.max(F.struct("n", column)).alias("m"), F.sum("n").alias("rows"))
+        return found.select("grp", F.col(f"m.{column}").alias(f"main_{column}"), (F.col("rows") - F.col("m.n")).alias(f"off_{column}"))
+
+    mixed = most("comp").where("off_comp > 0").join(most("fam").where("off_fam > 0"), "grp")
+    # every pair of different components and homes has a member outside the commonest component, and one outside the commonest home
+    placed = rows.join(keep(mixed, "mixed"), "grp").withColumn("inner", F.when(F.col("off_comp") <= F.col("off_fam"), F.col("comp") != F.col("main_comp")).otherwise(F.col("fam") != F.col("main_fam")))
+    placed = keep(placed.select("grp", "key", "cls", "comp", "fam", "n_shingles", "inner"), "placed")
+    salts = lambda those: F.ceil(F.greatest(F.count(F.when(those, 1)) / BLOCK, F.sum(F.when(those, F.col("n_shingles"))) / ITEMS)).cast("int")
+    sizes = placed.groupBy("grp").agg(salts(F.col("inner")).alias("lefts"), salts(F.lit(True)).alias("rights"))
+    placed = placed.drop("n_shingles").join(sizes, "grp")
+    salt = lambda n: F.pmod(_hash("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["grp", "sl", "sr", "key", "left", "inner", "cls", "comp", "fam"]
+    left = placed.where("inner").withColumn("sl", salt("lefts")).withColumn("sr", every("rights")).withColumn("left", F.lit(True)).select(columns)
+    right = placed.withColumn("sr", salt("rights")).withColumn("sl", every("lefts")).withColumn("left", F.lit(False)).select(columns)
+    block = ["grp", "sl", "sr"]
+    narrow = sets.select("cls", "n_shingles", "sig", "keys")
+    flagged = keep(in_blocks(left.union(right).join(narrow, "cls"), block, may_link(threshold), _FLAG_DDL), "flagged")
+    wanted = filtered(sets.select("cls", "n_shingles", "sig", "items"), bitmap(flagged.select(_hash("cls"))), _hash("cls"))
+    return in_blocks(flagged.join(wanted, "cls"), block, across(threshold), _PAIR_DDL)
 
 
 def _digest(text: str) -> Column:
@@ -335,24 +475,24 @@ def keep_one(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: st
     of a group under its smallest id the one with the smallest digest stays, of exactly equal rows any one. Rows without
     words all stay.
     """
-    key = F.col(f"`{id_col}`").cast("long")
-    digest = _digest(f"`{text_col}`")
-    before = scratch()
+    key, digest = F.col(f"`{id_col}`").cast("long"), _digest(f"`{text_col}`")
+    keep = Scratch()
     sigs, final = _grouped(pick(df, doc_id=id_col, text=text_col).withColumn("digest", _digest("text")), shingle, threshold)
-    crowded = final.where("n_rows > 1").select("cls", "first")
-    hint = F.broadcast if crowded.count() <= BROADCAST_IDS else _same
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    found = sigs.select("doc_id", "digest", "cls").join(hint(crowded), "cls").select(F.col("doc_id").alias("_row_id"), F.col("digest").alias("_row_digest"), stays.alias("stays"))
-    found = materialize(found.groupBy("_row_id", "_row_digest", "stays").agg(F.count("*").alias("n")), "found")
-    discard(*(scratch() - before - {*paths(found)}))
+    row_id, row_digest = fresh(df, "row_id"), fresh(df, "row_digest")
+    found = sigs.where("cls IS NOT NULL").groupBy("cls", "doc_id", "digest").agg(F.count("*").alias("n")).join(final.select("cls", "first"), "cls")
+    found = keep(found.select(F.col("doc_id").alias(row_id), F.col("digest").alias(row_digest), "n", stays.alias("stays")).where("NOT stays OR n > 1"), "found")
 
     def at(those: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        few = those.count() <= BROADCAST_IDS  # then the texts need not move
-        return rows.join(F.broadcast(those) if few else those, key.eqNullSafe(F.col("_row_id")) & (digest == F.col("_row_digest")), how)
-
-    gone = found.where("NOT stays").select("_row_id", "_row_digest")
-    tied = found.where("stays AND n > 1").select("_row_id", "_row_digest")
+        return rows.join(those, key.eqNullSafe(F.col(row_id)) & (digest == F.col(row_digest)), how)
+
+    # most texts are not named and stay in place; those that may be named move for an exact join
+    named = bitmap(found.select(F.xxhash64(row_id, row_digest)))
+    hashed = F.xxhash64(key, digest)
+    rest = filtered(df, named, hashed, inside=False)
+    moved = filtered(df, named, hashed)
+    gone, tied = (found.where(w).select(row_id, row_digest) for w in ("NOT stays", "stays"))
     if not tied.limit(1).count():
-        return at(gone, "left_anti", df)
-    single = at(gone.union(tied), "left_anti", df)
-    return single.union(at(tied, "left_semi", df).dropDuplicates([id_col, text_col]))
+        return rest.union(at(gone, "left_anti", moved))
+    single = at(gone.union(tied), "left_anti", moved)
+    return rest.union(single).union(at(tied, "left_semi", moved).dropDuplicates([id_col, text_col]))
