@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from array import array
 from bisect import bisect_left
@@ -190,3 +191,42 @@ def test_growing_moves_little(spark):
     a, b = ({r.doc_id: r.shard for r in sharding.bounded_ring(df, n, epsilon=0.25).collect()} for n in (8, 9))
     moved = sum(a[k] != b[k] for k in a) / len(a)
     assert moved < 0.3 and max(Counter(b.values()).values()) <= 4000 * 1.25 / 9 + 1
+
+
+def long_texts():
+    rng = random.Random(3)
+    letters = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    return {"letters": letters, "one": "a" * 1_000_000, "spaces": " " * 1_000_000, "tabs": "x" + "\t" * 1_000_000, "lines": "\n" * 1_000_000 + "end", "mixed": "a b  " + " \t\n" * 300_000 + "b", "kana": "日本" * 100_000}
+
+
+@pytest.mark.parametrize("kind", sorted(long_texts()))
+def test_very_long_words_and_white_space(kind):
+    """Words and runs of a million letters, in seconds, by every operator that cuts texts into tokens."""
+    text = long_texts()[kind]
+    word, byte = (library(n).encode(text, add_special_tokens=False).ids for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    start = time.time()
+    assert load(vocabulary("word_bpe_49k.json")).ids(text).tolist() == word
+    assert queries.ByteBpeEncoder(vocabulary("byte_bpe_50k.json"), 1)([text])[0] == array("I", [*byte, 1]).tobytes()
+    n, fit = token_counts.counter(vocabulary("byte_bpe_50k.json")).total_and_fit(text, 512)
+    assert n == len(byte) and 0 < fit < len(text)
+    assert time.time() - start < 60
+    assert len(library("byte_bpe_50k.json").encode(text[:fit], add_special_tokens=False).ids) <= 512
+
+
+def test_prefix_counts_inside_long_words():
+    counts, lib = token_counts.counter(vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    rng = random.Random(8)
+    for _ in range(40):
+        text = "".join(rng.choice(["ab", " ", "é", "\n", "x1", "<|endoftext|>"]) * rng.choice([1, 2, 90, 300]) for _ in range(5))
+        prefix = counts.of(text)
+        for position in rng.sample(range(len(text) + 1), min(40, len(text))):
+            assert prefix.at(position) == len(lib.encode(text[:position], add_special_tokens=False).ids), (text, position)
+
+
+def test_packing_of_long_white_space(spark):
+    rows = [(1, " " * 1_000_000), (2, "\t" * 1_000_000), (3, "\n" * 1_000_000 + "x")]
+    lib = library("byte_bpe_50k.json")
+    got = Counter()
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.ByteBpeEncoder(vocabulary("byte_bpe_50k.json"), 1)).collect():
+        got[r.doc_id] += r.length
+    assert got == {d: len(lib.encode(t, add_special_tokens=False).ids) + 1 for d, t in rows}

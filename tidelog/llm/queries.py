@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -49,7 +50,7 @@ class ByteBpeEncoder:
     """Texts to ids of byte_bpe_50k.json plus the end id, as uint32 bytes.
 
     The merges run in tiktoken on the same vocabulary; special strings in a text give their ids, as the tokenizers
-    library does by default.
+    library does by default. Texts with long white space, on which tiktoken's pattern fails, are encoded by this package.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -71,9 +72,15 @@ def _encoder(path: str, end_id: int) -> Callable[[list[str]], list[bytes]]:
     fast = tiktoken.Encoding("byte_bpe", pat_str=spec.pattern.pattern, mergeable_ranks=ranks, special_tokens=spec.specials)
     allowed, plain = set(spec.specials), fast.encode_ordinary
     tail = array("I", [end_id])
+    blank = re.compile(r"\s{256}")
+
+    def ids(t: str) -> array:
+        if blank.search(t):
+            return spec.ids(t)
+        return array("I", fast.encode(t, allowed_special=allowed) if "<|" in t else plain(t))
 
     def run(texts: list[str]) -> list[bytes]:
-        return [(array("I", fast.encode(t, allowed_special=allowed) if "<|" in t else plain(t)) + tail).tobytes() for t in texts]
+        return [(ids(t) + tail).tobytes() for t in texts]
 
     return run
 

@@ -26,6 +26,8 @@ from .tokenizer import Bpe, Words, byte_letters, load, merge_word, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE_PAIRS = 1_000_000
+#: Words of more characters are counted once for each text.
+LONG = 64
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -38,7 +40,9 @@ class PrefixCounter:
         self.letters = byte_letters()
         every = {bytes(own[c] for c in t) for t in bpe.vocab if all(c in own for c in t)}
         self.tokens = {t for t in every if len(self._merged(t)) == 1}  # those that their own bytes encode to
-        self.longest = max(map(len, self.tokens), default=1)
+        self.longest = [1] * 256  # of the tokens that end in a byte
+        for t in self.tokens:
+            self.longest[t[-1]] = max(self.longest[t[-1]], len(t))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.words = Words(self.word)
 
@@ -59,7 +63,8 @@ class PrefixCounter:
         last: list[bytes] = [b""]
         count = [0]
         for i in range(1, len(data) + 1):
-            for j in range(i - longest if i > longest else 0, i):  # the longest token first
+            reach = longest[data[i - 1]]
+            for j in range(i - reach if i > reach else 0, i):  # the longest token first
                 token = data[j:i]
                 if token in tokens:
                     if j:
@@ -73,6 +78,12 @@ class PrefixCounter:
                 raise ValueError(f"the vocabulary has no token for byte {data[i - 1]}")
         return bytes(count[1:]) if len(data) < 256 else np.array(count[1:], np.int64)
 
+    def by_character(self, word: str) -> np.ndarray:
+        """Token counts of the word's prefixes of 1, 2, ... characters."""
+        counts = self.words[word]
+        ends = np.cumsum([len(c.encode()) for c in word]) - 1
+        return (np.frombuffer(counts, np.uint8) if isinstance(counts, bytes) else counts)[ends]
+
     def segments(self, text: str) -> list[tuple[bool, str]]:
         """(is a special token, text) in order; special strings are one token each."""
         if self.bpe.special_split is None or "<|" not in text:
@@ -125,7 +136,15 @@ class PrefixCounts:
             self.special_from += [at] * len(words)
             at += len(part)
         self.ends = list(accumulate(len(w) for _, w in self.parts))
-        self.sums = [0, *accumulate(1 if s else int(counter.words[w][-1]) for s, w in self.parts)]
+        self.long: dict[int, np.ndarray] = {}  # counts by character of words that are not kept by the counter
+        self.sums = [0, *accumulate(1 if s else self._whole(i, w) for i, (s, w) in enumerate(self.parts))]
+        self.run: tuple[int, int, int, np.ndarray] = (0, 0, 0, np.empty(0))  # begin, end, part and counts of the last long white space
+
+    def _whole(self, part: int, word: str) -> int:
+        if len(word) <= LONG:
+            return int(self.counter.words[word][-1])
+        self.long[part] = self.counter.by_character(word)
+        return int(self.long[part][-1])
 
     def at(self, position: int) -> int:
         """Tokens of ``text[:position]``."""
@@ -138,6 +157,8 @@ class PrefixCounts:
         special, word = self.parts[k]
         if special:
             return self._split(position, k)
+        if k in self.long:
+            return self.sums[k] + int(self.long[k][position - start - 1])
         head = word[: position - start]
         if word in CONTRACTIONS and len(head) == 2:  # "'r" is no contraction yet
             return self.sums[k] + sum(int(self.counter.words[c][-1]) for c in head)
@@ -147,10 +168,19 @@ class PrefixCounts:
         """A prefix that may end in white space, whose run is then one word."""
         if not self.text[position - 1].isspace():
             return self.sums[k]
+        begin, end, j, counts = self.run
+        if begin < position <= end:
+            return self.sums[j] + int(counts[position - begin - 1])
         begin = position
         while begin and self.text[begin - 1].isspace() and begin > self.special_from[min(k, len(self.parts) - 1)]:
             begin -= 1
         j = bisect_right(self.ends, begin)
+        if position - begin > LONG:  # its prefixes are one word each; no special string begins with white space
+            end = position
+            while end < len(self.text) and self.text[end].isspace():
+                end += 1
+            self.run = begin, end, j, self.counter.by_character(self.text[begin:end])
+            return self.sums[j] + int(self.run[3][position - begin - 1])
         words = self.counter.bpe.pattern.findall(self.text[begin:position])
         return self.sums[j] + sum(int(self.counter.words[w][-1]) for w in words)
 
