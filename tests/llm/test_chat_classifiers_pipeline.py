@@ -1,9 +1,15 @@
+import math
+import os
+import pickle
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 
 import corpus_pipeline
 from tidelog.llm import chat, minhash, quality, queries, toxicity
@@ -67,7 +73,7 @@ def held_out(spark, name, column, rest, fold):
 def test_op1_held_out(spark):
     auc, y, p, rows = held_out(spark, "op1_toxicity", "toxic", 1, 3)
     assert all(r.predicted == (r.score >= 0.7) for r in rows)
-    assert auc > 0.85 and p[y == 0].mean() < 0.03
+    assert auc > 0.88 and p[y == 1].mean() > 0.45 and p[y == 0].mean() < 0.015
 
 
 def test_op9_held_out(spark):
@@ -90,7 +96,7 @@ def models():
 
 def test_classifiers_tell_planted_words(models):
     toxic, fine, good, bad = models
-    assert b"nasty" in toxic.toxic
+    assert all(b"nasty" in bad and b"nasty" not in fair for fair, bad in toxic.dictionaries)
     assert toxicity.scores(toxic, bad).min() > 0.7 > 0.3 > toxicity.scores(toxic, good).max()
     assert (quality.scores(fine, [t.encode() for t in good]) > 0.5).mean() > 0.95
 
@@ -140,11 +146,76 @@ def test_classifiers_on_odd_rows(spark, models):
     assert toxicity.keep_ordinary(df, models[0], threshold=1.1).count() == len(ODD) and quality.keep_good(df, models[1], threshold=1.1).count() == 0
 
 
-def test_cover_takes_what_is_characteristic():
-    s = toxicity.Settings()
-    assert toxicity.cover({}, {}, 0, s) == []
-    pieces = toxicity.cover(Counter({"terrible": 50, "the": 90}), Counter({"the": 100, "fine": 60}), 100, s)
-    assert len(pieces) == 1 and pieces[0].strip() in "terrible"
+def test_op1_equals_compressing_each_window_alone(spark):
+    """The whole query's scores from plain loops: words to windows, one compression for each, counts and the logistic function."""
+    model = queries.toxicity_model(spark, SF)
+    s = model.settings
+    assert len(model.dictionaries) == s.pairs and s.window >= 32 and all(len(d) > 4 * s.own for pair in model.dictionaries for d in pair)
+    params = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=17, search_log=5, min_match=s.min_match, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False)
+    plain = [[zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for d in pair] for pair in model.dictionaries]
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.score for r in queries.op1_toxicity(spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    checked = 0
+    for doc_id in sorted(docs)[::7]:
+        clean = toxicity._clean(docs[doc_id])
+        if len(clean) > 20000:
+            continue
+        cuts, at = [0], s.window
+        while at < len(clean):
+            if (at := clean.index(b" ", at)) > cuts[-1] and at < len(clean) - 1:
+                cuts.append(at)
+            at = (at // s.window + 1) * s.window
+        windows = [clean[a : b + 1] for a, b in zip(cuts, [*cuts[1:], len(clean)], strict=True)]
+        if max(map(len, windows)) > toxicity.LONGEST:
+            continue
+        d = sorted((sum(len(o.compress(w)) - len(t.compress(w)) for o, t in plain) for w in windows), reverse=True)
+        over = [sum(x >= t for x in d) for t in model.thresholds]
+        x = [*(math.log1p(max(0, sum(d[:k]))) for k in (1, 3, 8)), *map(math.log1p, over), *(math.sqrt(n / len(d)) for n in over), math.log1p(len(d))]
+        z = model.bias + sum(w * (v - m) / c for w, v, m, c in zip(model.weights, x, model.mean, model.scale, strict=True))
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        checked += 1
+    assert checked > 80
+
+
+def test_op9_equals_direct_convolution(spark):
+    """The whole query's scores from plain loops over chunks, places and filters."""
+    model = queries.quality_model(spark, SF)
+    s = model.settings
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.score for r in queries.op9_quality(spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for doc_id in sorted(docs, key=lambda d: (len(docs[d]), d))[:: len(docs) // 40][:38]:
+        text = (docs[doc_id] or "").encode()
+        blocks = -(-(len(text) + s.width - 1) // s.block)
+        padded = bytes(s.width - 1) + text + bytes(blocks * s.block)
+        response = np.array([sum(model.tables[k][padded[i + k]] for k in range(s.width)) for i in range(blocks * s.block)])
+        chunks = [response[b * s.block : (b + 2) * s.block] for b in range(max(1, blocks - 1))]
+        pooled = np.mean([np.maximum(c.max(axis=0) + model.bias, 0) for c in chunks], axis=0)
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-(pooled @ model.weights + model.offset)))) < 1e-4
+
+
+def test_memory_of_a_very_long_text(models):
+    """Fifty megabytes are scored in less memory than six copies of the text."""
+    code = """
+import pickle, resource, sys
+from tidelog.llm import toxicity
+model = pickle.load(sys.stdin.buffer)
+text = "some plain words of a long text " * 1_600_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+score = toxicity.scores(model, [text])[0]
+print(score, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], input=pickle.dumps(models[0]), capture_output=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    score, grown = map(float, done.stdout.split())
+    assert 0 <= score <= 1 and grown < 250
+
+
+def test_stretches_hold_the_whole_text_and_cut_at_white_space():
+    text = "word and " * 70000 + "x" * 600_000 + " end"
+    parts = list(toxicity.stretches(text))
+    assert b"".join(parts).replace(b" ", b"") == text.replace(" ", "").encode() and len(parts) > 4 and all(p[-5:].strip() in (b"word", b"and", b"ord", b"nd") for p in parts[:2])
+    assert list(toxicity.stretches("")) == [b"  "]
 
 
 def test_pipeline_stages_follow_the_operators(spark):

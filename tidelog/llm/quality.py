@@ -24,7 +24,7 @@ from .common import pick, ship, slices
 
 @dataclass(frozen=True)
 class Settings:
-    """block: bytes; a chunk is two of them. sample_bytes: of a training text, at a random place, per epoch."""
+    """block: bytes; a chunk is two of them. batch: texts of a training step."""
 
     filters: int = 16
     width: int = 6
@@ -32,7 +32,6 @@ class Settings:
     epochs: int = 14
     batch: int = 64
     rate: float = 0.01
-    sample_bytes: int = 2048
     seed: int = 5
 
 
@@ -121,12 +120,7 @@ def fit(texts: list[bytes], labels: list[int], settings: Settings = Settings())
         rate = s.rate * (1 - epoch / s.epochs)
         for lo in range(0, len(order), s.batch):
             ids = order[lo : lo + s.batch]
-            parts = []
-            for i in ids:
-                t = texts[i]
-                a = int(rng.integers(0, max(1, len(t) - s.sample_bytes + 1)))
-                parts.append(t[a : a + s.sample_bytes])
-            data, counts = _layout(parts, s)
+            data, counts = _layout([texts[i] for i in ids], s)
             maxima, where = _block_maxima(m, data, int(counts.sum()), places=True)
             first, second, starts = _chunks(counts)
             use = np.where(maxima[first] >= maxima[second], first[:, None], second[:, None])

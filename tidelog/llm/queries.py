@@ -90,16 +90,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ByteBpeEncoder(vocabulary("byte_bpe_50k.json"), 1), size=2048)
 
 
-#: Labelled texts of each class that a classifier is fitted on at most, and characters of each of them.
+#: Labelled rows that a classifier is fitted on at most, of the rarer and of the commoner class; their texts are whole.
 SAMPLE_DOCS = {"toxic": (1500, 3000), "quality": (1000, 2000)}
-SAMPLE_CHARS = 16384
 
 
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: int, left_out: int) -> list[tuple[int, str]]:
     """(label, text) of a bounded sample, chosen by hash, of labelled rows outside the held-out fold.
 
-    The held-out fold is ``crc32(doc_id as text) mod fold = left_out``. Of longer texts a stretch of SAMPLE_CHARS
-    characters at a place chosen by hash is taken. Nulls in labels or texts are no examples.
+    The held-out fold is ``crc32(doc_id as text) mod fold = left_out``. Nulls in labels or texts are no examples.
     """
     few, many = SAMPLE_DOCS[label]
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("y")).where(crc_of_id() % fold != left_out)
@@ -108,8 +106,7 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: int, lef
     order = F.xxhash64("doc_id")
     picked = marks.where(F.col("y") == rare).orderBy(order, "doc_id").limit(few).union(marks.where(F.col("y") == 1 - rare).orderBy(order, "doc_id").limit(many))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    begin = F.greatest(F.lit(1), F.pmod(order, F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int"))
-    found = docs.join(F.broadcast(picked), "doc_id").select("y", F.substr("text", begin, F.lit(SAMPLE_CHARS)).alias("text"), "doc_id")
+    found = docs.join(F.broadcast(picked), "doc_id").select("y", "text", "doc_id")
     return [(r.y, r.text) for r in found.orderBy(order, "doc_id", "text").limit(few + many).collect()]
 
 

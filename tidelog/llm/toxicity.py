@@ -1,21 +1,23 @@
 """Toxicity by compression distance: does a dictionary of toxic text shorten a window more than one of ordinary text?
 
-Fitting takes a bounded sample of labelled texts. Each class gets a raw zstandard dictionary made of the segments
-that cover most of what is characteristic for it against the other class (greedy cover over word pieces). Texts are
-cut into windows at white space, and where there is none also at a fixed size, with an overlap; every window of the whole text is compressed with both dictionaries, and the
-difference of the two lengths is its distance. Bytes are doubled first, so that one word of a window outweighs what
-a compressed block costs by itself. A text's score is a logistic function of its largest distances and of how many
-windows exceed thresholds calibrated on ordinary texts.
+Fitting takes a bounded sample of labelled texts, dealt in three. Zstandard trains a dictionary on windows of ordinary
+text, which both classes share, and for each of two parts of the sample one on toxic and one on ordinary windows.
+Labels are of whole texts, though, and most windows of a toxic text are ordinary: those taken for training hold a word whose
+beginning is many times as frequent in toxic texts as in ordinary ones, in that part and in the other. The third part, which
+no dictionary has seen, calibrates thresholds on the windows of ordinary texts, and weights.
+
+For scoring, a text is cut at white space into windows of some forty bytes, and where there is none also at a fixed size, with
+an overlap. Every window of the whole text is compressed with each dictionary; the sum of ordinary length less toxic
+length is its distance. A text's score is a logistic function of its largest distances and of how many windows exceed each threshold.
 
 Results by case: null and empty texts, or texts of white space only, have one empty window and get the score of no
-evidence; very long texts are scored on all their windows; repeated rows get equal scores; a null id stays null; an
-empty table gives an empty result; without labelled texts of both classes every score is 0.5; columns other than id
-and text are ignored.
+evidence; very long texts are scored on all their windows, a stretch at a time; repeated rows get equal scores; a null id stays null; an
+empty table gives an empty result; without labelled texts of both classes every score is 0.5; a class with too little text to
+train on gives that text as its dictionary; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
@@ -32,39 +34,45 @@ from pyspark.sql import DataFrame
 from .common import pick, ship, slices
 from .logistic import fit_logistic
 
-PIECES = (5, 6, 7, 8)
 _PUNCTUATION = bytes.maketrans(b".,;:!?\"()|\n\t\r\v\f\x1c\x1d\x1e\x1f", b" " * 19)
 _SPACES = re.compile(r"[^\S ]")
-#: Bytes of a window at most, so that both dictionaries stay within reach (see window_log) and one word counts in it; what
-#: consecutive ones of a longer stretch without white space share, so that every piece is whole in one.
-LONGEST, OVERLAP = 128, 4 * max(PIECES)
+#: Bytes of a window at most, where a stretch has no white space, and what consecutive ones of it share.
+LONGEST, OVERLAP = 128, 32
+#: Characters of a text that are in work at a time.
+STRETCH = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    """windows: sizes to choose from by held-out loss; a window has that many bytes at least and ends at white space.
-    dictionary: bytes of a dictionary at most. share, ratio: a piece enters a dictionary if it is in that share of the
-    class and so many times as frequent as in the other. repeat: how often each byte is written for compression."""
-
-    windows: tuple[int, ...] = (1, 8, 24)
-    dictionary: int = 1024
+    """window: bytes of a scored window at least; it ends at white space. shared, own: bytes of the common dictionary and of each
+    class's. segment: bytes of a segment that the trainer picks. sample: bytes of a training window. each: training
+    windows for one word beginning. share, ratio: a beginning marks toxic windows if it is in that share of the toxic
+    texts and so many times as frequent as in ordinary ones. false_alarms: share of ordinary texts that may score 0.7."""
+
+    window: int = 40
+    shared: int = 65536
+    own: int = 2048
+    segment: int = 16
+    sample: int = 6
+    each: int = 300
     share: float = 0.03
     ratio: float = 8.0
-    repeat: int = 2
-    min_match: int = 7
+    pairs: int = 2
+    min_match: int = 6
+    false_alarms: float = 0.006
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    """dictionaries: (ordinary, toxic) of each pair, the shared one in front."""
+
     settings: Settings
+    dictionaries: tuple[tuple[bytes, bytes], ...] = ()
     thresholds: tuple[float, ...] = ()
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     bias: float = 0.0
-    window: int = 1
 
 
 def _clean(text: str) -> bytes:
@@ -74,95 +82,66 @@ def _clean(text: str) -> bytes:
     return b" " + text.encode().translate(_PUNCTUATION) + b" "
 
 
-def _word_counts(texts: list[str]) -> tuple[Counter, int]:
-    """In how many texts each word is, and the number of texts. A text that repeats much of earlier ones does not count again."""
-    found: Counter = Counter()
+def stretches(text: str) -> Iterator[bytes]:
+    """The cleaned text in parts that end at white space, or after some more characters where there is none."""
+    start = 0
+    while True:
+        end = start + STRETCH
+        stop = min(len(text), end + 256)
+        while end < stop and not text[end].isspace():
+            end += 1
+        yield _clean(text[start:end])
+        start = end
+        if start >= len(text):
+            return
+
+
+def _apart(texts: list[str]) -> list[str]:
+    """Those texts that do not repeat much of earlier ones: copies would count as evidence more than once."""
     seen: set[int] = set()
-    docs = 0
+    out = []
+    for t in texts:
+        words = _clean(t).split()
+        runs = {h for h in (zlib.crc32(b" ".join(words[i : i + 3])) for i in range(len(words) - 2)) if not h % 8}
+        if not runs or len(runs & seen) <= len(runs) / 5:
+            seen |= runs
+            out.append(t)
+    return out
+
+
+def _beginnings(data: bytes) -> set[bytes]:
+    return {w[:n] for w in data.split() if len(w) > 3 for n in (5, 6, 7, 8, 9, 10)}
+
+
+def _counts(texts: list[str]) -> tuple[Counter, int]:
+    found: Counter = Counter()
     for t in texts:
-        words = _clean(t).decode().split()
-        runs = {h for h in (zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(len(words) - 2)) if not h % 8}
-        if runs and len(runs & seen) > len(runs) / 5:
-            continue
-        seen |= runs
-        found.update(set(words))
-        docs += 1
-    return found, docs
-
-
-def _pieces(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + k] for k in PIECES for i in range(len(w) - k + 1)}
-
-
-def cover(mine: Counter, other: Counter, docs: int, settings: Settings) -> list[str]:
-    """Pieces that are characteristic for ``mine``, each chosen for the words that none before it covers."""
-    a, b = sum(mine.values()), sum(other.values())
-    if not a or not b:
-        return []
-    least = max(4, settings.share * docs)
-    words_of: dict[str, list[str]] = {}
-    count: Counter = Counter()
-    for w, n in mine.items():
-        for p in _pieces(w):
-            words_of.setdefault(p, []).append(w)
-            count[p] += n
-    common = {p for p, n in count.items() if n >= least}
-    against: Counter = Counter()
-    for w, n in other.items():
-        for p in _pieces(w) & common:
-            against[p] += n
-
-    def gain(p: str, n: int) -> float:
-        expected = (against[p] + 0.5) * a / b
-        return n * math.log(n / expected) * math.sqrt(len(p)) if n >= least and n >= settings.ratio * expected else 0.0
-
-    heap = [(-gain(p, count[p]), p) for p in common if gain(p, count[p])]
-    heapq.heapify(heap)
-    covered: set[str] = set()
-    chosen, size = [], 0
-    while heap:
-        old, p = heapq.heappop(heap)
-        now = gain(p, sum(mine[w] for w in words_of[p] if w not in covered))
-        if not now:
-            continue
-        if now < -old - 1e-9:
-            heapq.heappush(heap, (-now, p))
-            continue
-        size += len(p.encode())
-        if size > settings.dictionary:
-            break
-        chosen.append(p)
-        covered.update(words_of[p])
-    return chosen
-
-
-def hold(pieces: list[str], mine: Counter, other: Counter, docs: int, settings: Settings) -> list[str]:
-    """Those pieces that are characteristic in other texts of the class, too; what chance made so is not."""
-    wanted = set(pieces)
-    a, b = Counter(), Counter()
-    for found, words in ((a, mine), (b, other)):
-        for w, n in words.items():
-            for p in _pieces(w) & wanted:
-                found[p] += n
-    share = sum(mine.values()) / max(1, sum(other.values()))
-    return [p for p in pieces if a[p] >= max(3, settings.share * docs / 2) and a[p] >= settings.ratio * (b[p] + 0.5) * share]
-
-
-def _repeat(data: bytes, times: int) -> bytes:
-    return np.repeat(np.frombuffer(data, np.uint8), times).tobytes() if times > 1 else data
+        found.update(_beginnings(_clean(t)))
+    return found, sum(found.values())
+
+
+def _marks(toxic: tuple[Counter, int], ordinary: tuple[Counter, int], least: float, ratio: float) -> dict[bytes, float]:
+    """Word beginnings in at least so many toxic texts and so many times as frequent there, with their weights."""
+    (mine, n), (other, m) = toxic, ordinary
+    expected = {w: (other[w] + 0.5) * n / max(1, m) for w, k in mine.items() if k >= least}
+    return {w: mine[w] * math.log(mine[w] / e) for w, e in expected.items() if mine[w] >= ratio * e}
 
 
 def _windows(texts: list[bytes], size: int) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """All texts as one buffer, (start, length) of every window, and the first window of each text."""
+    """All texts as one buffer, (start, length) of every window, and the first window of each text.
+
+    A window begins with white space and takes in the one that the next begins with.
+    """
     data = b"".join(texts)
     a = np.frombuffer(data, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     spaces = np.flatnonzero(a == 32)
     marks = np.concatenate([np.arange(lo + size, hi, size) for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True)] or [np.empty(0, int)])
     cuts = spaces[np.searchsorted(spaces, marks)] if len(marks) else marks  # every text ends in white space
+    cuts = cuts[~np.isin(cuts + 1, ends)]
     starts = np.unique(np.r_[0, ends[:-1], cuts]).astype(np.int64)
-    long = np.r_[starts[1:], len(a)] - starts
+    limit = ends[np.searchsorted(ends, starts, side="right")]
+    long = np.minimum(np.r_[starts[1:], len(a)] + 1, limit) - starts
     parts = np.maximum(1, -(-(long - OVERLAP) // (LONGEST - OVERLAP)))  # of a window above the longest size
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     stops = np.repeat(starts + long, parts)
@@ -171,30 +150,76 @@ def _windows(texts: list[bytes], size: int) -> tuple[bytes, np.ndarray, np.ndarr
     return data, np.stack([starts, stops - starts], 1).astype(np.uint64), np.searchsorted(starts, np.r_[0, ends[:-1]])
 
 
-@lru_cache(2)
-def _compressors(toxic: bytes, ordinary: bytes, s: Settings):
+def _cut(texts: list[str], size: int) -> list[bytes]:
+    data, windows, _ = _windows([p for t in texts for p in stretches(t)], size)
+    return [data[a : a + n] for a, n in windows.astype(np.int64).tolist()]
+
+
+def train(windows: list[bytes], size: int, s: Settings, filled: bool = False) -> bytes:
+    """A dictionary of at most ``size`` bytes, trained by zstandard. Windows are mixed first: the trainer goes through them once.
+
+    filled: where the trainer leaves room, windows themselves stand before what it chose, so that two dictionaries are equally long.
+    """
+    mixed = sorted(windows, key=zlib.crc32)
+    try:
+        made = zstandard.train_dictionary(size, mixed, k=s.segment, d=6, level=3).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text
+        made, filled = b"", True
+    room = size - len(made)
+    return b"".join(mixed)[-room:] + made if filled and room else made
+
+
+def toxic_windows(texts: list[str], marks: dict[bytes, float], s: Settings) -> list[bytes]:
+    """Windows that hold a marked word beginning, at most ``each`` for the weightiest one in them, chosen by hash."""
+    found: dict[bytes, list[bytes]] = {}
+    for w in _cut(texts, s.sample):
+        best = max(((marks[b], b) for b in _beginnings(w) if b in marks), default=None)
+        if best:
+            found.setdefault(best[1], []).append(w)
+    return [w for those in found.values() for w in sorted(those, key=zlib.crc32)[: s.each]]
+
+
+@lru_cache(4)
+def _compressor(dictionary: bytes, min_match: int) -> zstandard.ZstdCompressor:
+    # the fast strategy with a target length stores literals as they are, so lengths follow matches alone
     params = zstandard.ZstdCompressionParameters(
-        # the fast strategy with a target length stores literals as they are, so lengths follow matches alone
-        window_log=12, hash_log=10, chain_log=10, search_log=4, min_match=s.min_match, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False
+        window_log=19, hash_log=17, chain_log=17, search_log=5, min_match=min_match, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_checksum=False, write_dict_id=False
     )
-    out = []
-    for words in (ordinary, toxic):
-        d = zstandard.ZstdCompressionDict(_repeat(words, s.repeat), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(compression_params=params)
-        out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-    return out
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+
+
+def _lengths(dictionary: bytes, source: bytes, windows: bytes, s: Settings) -> np.ndarray:
+    done = _compressor(dictionary, s.min_match).multi_compress_to_buffer(zstandard.BufferWithSegments(source, windows), threads=1)
+    return np.fromiter(map(len, done), np.int32, len(done))
 
 
 def distances(model: Model, texts: list[str]) -> list[np.ndarray]:
-    """Per text, ordinary length minus toxic length of each window."""
-    s = model.settings
-    data, windows, first = _windows([_clean(t) for t in texts], model.window)
-    source = _repeat(data, s.repeat)
-    lengths = []
-    for c in _compressors(model.toxic, model.ordinary, s):
-        done = c.multi_compress_to_buffer(zstandard.BufferWithSegments(source, (windows * np.uint64(s.repeat)).tobytes()), threads=1)
-        lengths.append(np.array([len(x) for x in done], np.int32))
-    return np.split(lengths[0] - lengths[1], first[1:])
+    """Per text, the distance of each window."""
+    parts = [list(stretches(t)) if len(t) > STRETCH else [_clean(t)] for t in texts]
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    owners, held, size = [], [], 0
+
+    def flush() -> None:
+        data, windows, first = _windows(held, model.settings.window)
+        where = windows.tobytes()
+        total = sum(_lengths(o, data, where, model.settings) - _lengths(t, data, where, model.settings) for o, t in model.dictionaries)
+        for owner, d in zip(owners, np.split(total, first[1:]), strict=True):
+            out[owner].append(d.astype(np.int16))
+
+    for i, those in enumerate(parts):
+        for part in those:
+            owners.append(i)
+            held.append(part)
+            size += len(part)
+            if size >= 1 << 20:
+                flush()
+                owners, held, size = [], [], 0
+        parts[i] = []
+    if held:
+        flush()
+    return [np.concatenate(d) for d in out]
 
 
 TOP = (1, 3, 8)
@@ -212,41 +237,48 @@ def features(model: Model, each: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(toxic: list[str], ordinary: list[str], settings: Settings = Settings()) -> Model:
-    """Dictionaries from half of the texts; thresholds and weights from the other half, which the dictionaries have not seen."""
+    """Dictionaries from all but the last part of the texts; thresholds and weights from that."""
+    s = settings
     if not toxic or not ordinary:
-        return Model(b"", b"", settings)
-    (t, n_t), (o, n_o) = _word_counts(toxic[::2]), _word_counts(ordinary[::2])
-    (t2, n_t2), (o2, n_o2) = _word_counts(toxic[1::2]), _word_counts(ordinary[1::2])
-    pieces = hold(cover(t, o, n_t, settings), t2, o2, n_t2, settings), hold(cover(o, t, n_o, settings), o2, t2, n_o2, settings)
-    size = max(8, *(len("".join(p).encode()) for p in pieces))
-    made = [("".join(p[::-1]).encode().rjust(size, b"\x00")) for p in pieces]
-    blank = Model(made[0], made[1], settings)
-    held = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    y = np.r_[np.ones(len(held[0])), np.zeros(len(held[1]))]
-    return min((_calibrate(replace(blank, window=w), held, y) for w in settings.windows), key=lambda x: x[0])[1]
-
-
-def _calibrate(model: Model, held: tuple[list[str], list[str]], y: np.ndarray) -> tuple[float, Model]:
-    """Thresholds from ordinary windows, weights by logistic regression; (mean loss, model)."""
-    far = [distances(model, texts) for texts in held]
-    calm = np.sort(np.concatenate(far[1]))
+        return Model(s)
+    toxic, ordinary = _apart(toxic), _apart(ordinary)
+    *t_parts, t_held = (toxic[i :: s.pairs + 1] for i in range(s.pairs + 1))
+    *o_parts, o_held = (ordinary[i :: s.pairs + 1] for i in range(s.pairs + 1))
+    windows = [_cut(part, s.sample) for part in o_parts]
+    shared = train([w for part in windows for w in part[::2]], s.shared, s)
+    calm = _counts([t for part in o_parts for t in part])
+    made = []
+    for i, part in enumerate(t_parts):
+        rest = [t for j, other in enumerate(t_parts) if j != i for t in other]
+        marks = _marks(_counts(part), calm, max(4, s.share * len(part)), s.ratio)
+        again = _marks(_counts(rest), calm, max(3, s.share * len(rest) / 2), s.ratio)
+        bad = train(toxic_windows(part, {w: v for w, v in marks.items() if w in again}, s), s.own, s, filled=True)
+        good = train(windows[i][1::2], s.own, s, filled=True)
+        size = min(len(bad), len(good))
+        made.append((shared + good[len(good) - size :], shared + bad[len(bad) - size :]))
+    return _calibrate(Model(s, tuple(made)), t_held or toxic, o_held or ordinary)
+
+
+def _calibrate(model: Model, toxic: list[str], ordinary: list[str]) -> Model:
+    """Thresholds from ordinary windows, weights by logistic regression, shifted if too many ordinary texts reached 0.7."""
+    far, near = distances(model, toxic), distances(model, ordinary)
+    calm = np.sort(np.concatenate(near))
     model = replace(model, thresholds=tuple(sorted({float(max(1, calm[min(len(calm) - 1, int(len(calm) * q))])) for q in QUANTILES})))
-    x = np.concatenate([features(model, d) for d in far])
-    mean, scale, weights, bias = fit_logistic(x, y)
+    x = np.concatenate([features(model, far), features(model, near)])
+    mean, scale, weights, bias = fit_logistic(x, np.r_[np.ones(len(far)), np.zeros(len(near))])
     model = replace(model, mean=tuple(mean), scale=tuple(scale), weights=tuple(weights), bias=bias)
-    p = np.clip(_logistic(model, x), 1e-6, 1 - 1e-6)
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()), model
+    limit = float(np.quantile(_logit(model, x[len(far) :]), 1 - model.settings.false_alarms))
+    return replace(model, bias=bias - max(0.0, limit - math.log(0.7 / 0.3)))
 
 
-def _logistic(model: Model, x: np.ndarray) -> np.ndarray:
-    z = (x - np.array(model.mean)) / np.array(model.scale)
-    return 1 / (1 + np.exp(-np.clip(z @ np.array(model.weights) + model.bias, -30, 30)))
+def _logit(model: Model, x: np.ndarray) -> np.ndarray:
+    return (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights) + model.bias
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
     if not model.weights:
         return np.full(len(texts), 0.5)
-    return _logistic(model, features(model, distances(model, texts)))
+    return 1 / (1 + np.exp(-np.clip(_logit(model, features(model, distances(model, texts))), -30, 30)))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
