@@ -133,18 +133,19 @@ def bitmap(hashes: DataFrame) -> DataFrame:
     return words.groupBy("bitmap_word").agg(F.bit_or("bit").alias("bitmap_bits"))
 
 
-def filtered(df: DataFrame, bits: DataFrame, hashed: Column, inside: bool = True) -> DataFrame:
+def filtered(df: DataFrame, bits: DataFrame, hashed: Column, inside: bool = True, keep: str | None = None) -> DataFrame:
     """Rows of ``df``, which stay where they are, that may be among the bitmap's (inside), or that surely are not.
 
     The fuller the bitmap, the more rows pass that are not wanted; the caller joins what passes exactly. So it decides only
-    how many rows move, never which are right.
+    how many rows move, never which are right. keep: a new column with the bitmap's word, which is never 0. A later semi or anti
+    join whose condition reads it is not moved below this filter by the optimizer, which would shuffle all rows.
     """
     word, held = fresh(df, "bitmap_word"), fresh(df, "bitmap_bits")
     at = F.pmod(hashed, F.lit(BITMAP).cast("long"))
     words = bits.select(F.col("bitmap_word").alias(word), F.col("bitmap_bits").alias(held))
     there = F.coalesce(F.call_function("bit_get", F.col(held), at.bitwiseAND(63).cast("int")), F.lit(0).cast("byte")) == (1 if inside else 0)
     joined = df.join(F.broadcast(words), F.shiftrightunsigned(at, 6) == F.col(word), "inner" if inside else "left")
-    return joined.where(there).select(*[F.col(f"`{c}`") for c in df.columns])
+    return joined.where(there).select(*[F.col(f"`{c}`") for c in df.columns], *([F.col(held).alias(keep)] if keep else []))
 
 
 def fresh(df: DataFrame, name: str) -> str:

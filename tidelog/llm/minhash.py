@@ -385,11 +385,15 @@ def _grouped(rows: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame,
     # a class in many and large buckets is central: it is the hub of its buckets
     degree = F.sum("n").over(Window.partitionBy("cls"))
     members = keep(members.select("key", "cls", "n_shingles", F.struct(degree.alias("degree"), _hash("cls").alias("h")).alias("rank")), "members")
-    sets = keep(_candidate_sets(rows, classes, members, shingle), "sets")
     homes = keep(_homes(members), "homes")
-    inside = in_blocks(homes.join(sets, "cls").select("fam", "part", "hub", "cls", "n_shingles", "sig", "items"), ["fam", "part"], at_home(threshold), _PAIR_DDL, F.col("hub").desc())
-    roots = components(keep(inside, "inside"), keep)
-    wider = keep(_across(members, homes, sets, roots, threshold, keep), "across")
+    own, led = homes.where("NOT hub").select("cls", "fam", "part", "parts"), homes.where("hub").select("fam", "part", "cls", "hub")
+    sets = keep(_candidate_sets(rows, classes, members, shingle).join(own, "cls", "left"), "sets")
+    wide = ["cls", "n_shingles", "sig", "items"]
+    hubs = led.join(filtered(sets.select(wide), bitmap(led.select(_hash("cls"))), _hash("cls")), "cls")
+    there = sets.where("fam IS NOT NULL").select("fam", "part", F.lit(False).alias("hub"), *wide).union(hubs.select("fam", "part", "hub", *wide))
+    inside = keep(in_blocks(there, ["fam", "part"], at_home(threshold), _PAIR_DDL, F.col("hub").desc()), "inside")
+    roots = components(inside, keep)
+    wider = keep(_across(members, sets, roots, threshold, keep), "across")
     ends = _labelled(_labelled(wider.select(F.col("a").alias("a_cls"), F.col("b").alias("b_cls")), roots, "a_cls", "a"), roots, "b_cls", "b")
     joined = components(ends.select("a", "b"), keep)
     named = keep(_labelled(_labelled(classes.select("cls", "first", "n_rows"), roots), joined, "comp", "whole").select("cls", "whole", "first", "n_rows"), "named")
@@ -430,11 +434,11 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str = "cls", label: str
     return df.join(named, column, "left").withColumn(label, F.coalesce(label, column))
 
 
-def _across(members: DataFrame, homes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int, keep: Scratch) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int, keep: Scratch) -> DataFrame:
     """Links between components, as stars of each block."""
-    at = homes.where("NOT hub").select("cls", "fam")
+    at = sets.select("cls", "fam")
     buckets = _labelled(members.select("key", "cls", "n_shingles"), roots).join(at, "cls", "left").select(F.unhex(F.hex("key")).alias("grp"), "key", "cls", "comp", F.coalesce("fam", "cls").alias("fam"), "n_shingles")
-    large = homes.where("parts > 1 AND NOT hub").join(sets.select("cls", "n_shingles"), "cls").select(F.col("fam").alias("grp"), F.lit(None).cast("long").alias("key"), "cls", "fam", "n_shingles")
+    large = sets.where("parts > 1").select(F.col("fam").alias("grp"), F.lit(None).cast("long").alias("key"), "cls", "fam", "n_shingles")
     large = _labelled(large, roots).select("grp", "key", "cls", "comp", F.col("cls").alias("fam"), "n_shingles")
     rows = keep(buckets.union(large), "groups")
 
@@ -483,16 +487,15 @@ def keep_one(df: DataFrame, *, shingle: int = 5, threshold: int = 80, id_col: st
     found = sigs.where("cls IS NOT NULL").groupBy("cls", "doc_id", "digest").agg(F.count("*").alias("n")).join(final.select("cls", "first"), "cls")
     found = keep(found.select(F.col("doc_id").alias(row_id), F.col("digest").alias(row_digest), "n", stays.alias("stays")).where("NOT stays OR n > 1"), "found")
 
-    def at(those: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        return rows.join(those, key.eqNullSafe(F.col(row_id)) & (digest == F.col(row_digest)), how)
+    named, hashed, word = bitmap(found.select(F.xxhash64(row_id, row_digest))), F.xxhash64(key, digest), fresh(df, "row_word")
+
+    def at(those: DataFrame, how: str) -> DataFrame:
+        """Texts that may be named move for an exact join; most are not and stay in place."""
+        same = key.eqNullSafe(F.col(row_id)) & (F.when(F.col(word) != 0, digest) == F.col(row_digest))
+        return filtered(df, named, hashed, keep=word).join(those, same, how).drop(word)
 
-    # most texts are not named and stay in place; those that may be named move for an exact join
-    named = bitmap(found.select(F.xxhash64(row_id, row_digest)))
-    hashed = F.xxhash64(key, digest)
     rest = filtered(df, named, hashed, inside=False)
-    moved = filtered(df, named, hashed)
     gone, tied = (found.where(w).select(row_id, row_digest) for w in ("NOT stays", "stays"))
     if not tied.limit(1).count():
-        return rest.union(at(gone, "left_anti", moved))
-    single = at(gone.union(tied), "left_anti", moved)
-    return rest.union(single).union(at(tied, "left_semi", moved).dropDuplicates([id_col, text_col]))
+        return rest.union(at(gone, "left_anti"))
+    return rest.union(at(gone.union(tied), "left_anti")).union(at(tied, "left_semi").dropDuplicates([id_col, text_col]))
