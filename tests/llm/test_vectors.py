@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -92,13 +94,38 @@ def test_adaptive_scan_abandons_early():
     items, queries_ = rng.normal(size=(3000, 64)), rng.normal(size=(20, 64))
     rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
     right = 0
-    for q, (at, exact) in zip(queries_, ann.scan(items, queries_, rotation, 10), strict=True):
+    for q, (at, exact) in zip(queries_, ann.scan(items, items @ rotation, queries_, queries_ @ rotation, np.full(20, np.inf), 10), strict=True):
         assert len(at) < 200
         true = np.argsort(((items - q) ** 2).sum(axis=1))[:10]
         right += len(set(true) & set(at))
     assert right >= 190
 
 
+def test_carried_limit_works_in_short_lists():
+    """With a limit brought along, even a list of a few rows is tested, and nothing within the limit is lost."""
+    rng = np.random.default_rng(2)
+    items, queries_ = rng.normal(size=(30, 64)), rng.normal(size=(20, 64))
+    exact = np.sqrt(((items[None] - queries_[:, None]) ** 2).sum(axis=2))
+    limits = np.sort(exact, axis=1)[:, 4]
+    for own, limit, (at, score) in zip(exact, limits, ann.scan(items, items, queries_, queries_, limits, 10), strict=True):
+        assert (score <= limit).all() and len(at) <= 5 and np.allclose(own[at], score)
+
+
+@pytest.mark.parametrize("size", [1.0, 1e6, 1e7, 1e9, 1e15, 1e300])
+def test_topk_of_large_components_is_exact(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * (size if i % 3 else 1.0)).tolist()) for i in range(1, 160)]
+    cut = lambda x: max(-(1 << 62), min(1 << 62, math.floor(64 * x)))
+    items = {i: [cut(x) for x in v] for i, v in rows}
+    top = (1 << 63) - 1
+    product = lambda a, b: max(-top, min(top, sum(x * y for x, y in zip(a, b, strict=True))))
+    got = by_query(topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), every=20, k=7, block=32, asks=4).collect())
+    assert set(got) == {i for i in items if i % 20 == 0}
+    for q, found in got.items():
+        want = sorted((-product(items[q], v), i) for i, v in items.items() if i != q)[:7]
+        assert [(v, s) for _, v, s in found] == [(i, -s) for s, i in want]
+
+
 def test_bound_never_exceeds_distance():
     rng = np.random.default_rng(6)
     x, q = rng.integers(-50, 50, (200, 8)).astype(float), rng.integers(-50, 50, (9, 8)).astype(float)

@@ -78,10 +78,23 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray
     return centers
 
 
+#: Entries of a matrix of distances at a time, 32 MB.
+ENTRIES = 1 << 22
+
+
+def chunks(rows: int, columns: int) -> list[slice]:
+    """Slices of ``rows`` such that each with ``columns`` has a bounded number of entries."""
+    step = max(1, ENTRIES // max(1, columns))
+    return [slice(i, min(rows, i + step)) for i in range(0, rows, step)]
+
+
 def nearest(x: np.ndarray, centers: np.ndarray, n: int = 1) -> np.ndarray:
     """Index of the nearest center of each row; with n over 1 the n nearest, nearest first."""
-    d = (centers * centers).sum(axis=1)[None, :] - 2 * (x @ centers.T)
-    return d.argmin(axis=1) if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    square, out = (centers * centers).sum(axis=1)[None, :], [np.empty((0,) if n == 1 else (0, n), np.int64)]
+    for part in chunks(len(x), len(centers)):
+        d = square - 2 * (x[part] @ centers.T)
+        out.append(d.argmin(axis=1) if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
 
 
 def deal(items: DataFrame, asks: DataFrame, key: list[str], most_items: int, most_asks: int) -> tuple[DataFrame, DataFrame]:
