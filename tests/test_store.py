@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 import random
 import threading
@@ -208,6 +209,64 @@ def test_bloom_and_order_in_files(spark, store):
     assert store.get(1, 1) == (None, False, False)
 
 
+def test_reads_open_only_generations_that_may_hold_the_key(spark, store, monkeypatch):
+    for k in range(6):
+        store.append(batch(spark, *((10 * k + i, 100 * k, b"v%d" % k) for i in range(5))))
+    opened = []
+    real = store._files
+    monkeypatch.setattr(store, "_files", lambda folders: opened.append(len(folders)) or real(folders))
+    assert store.get(23, 200) == (b"v2", True, False) and opened == [1]
+    assert store.get(7, 100) == (None, False, False) and store.get(23, 201) == (None, False, False) and opened == [1]
+    assert [r.ts for r in store.scan(40, 0, 10**6).collect()] == [400] and opened == [1, 1]
+    assert store.scan(23, 0, 100).count() == 0 and opened == [1, 1]
+    g = store.snapshot().generations[3]
+    assert (g.first_series, g.last_series, g.first_ts, g.last_ts, g.rows) == (30, 34, 300, 300, 5)
+
+
+def test_bloom_filter_size_follows_the_data(spark, tmp_path):
+    sizes = []
+    for n in (100, 100_000):
+        store = open_store(spark, f"file://{tmp_path}/{n}")
+        store.append(spark.range(n).selectExpr("id AS series_id", "0L AS ts", "id AS seq", "false AS deleted", "cast('x' AS binary) AS value").coalesce(1))
+        data = f"{tmp_path}/{n}/data/{store.snapshot().folders[0]}"
+        sizes.append(sum(os.path.getsize(f"{data}/{f}") for f in os.listdir(data) if f.endswith(".parquet")))
+        assert store.get(n, 0) == (None, False, False) and store.get(n - 1, 0)[0] == b"x"
+    assert sizes[0] < 40_000
+
+
+def test_generations_stay_bounded(spark, tmp_path):
+    store = open_store(spark, f"file://{tmp_path}/s", StoreConfig(max_generations=4))
+    for k in range(12):
+        store.append(batch(spark, (1, k % 5, b"%d" % k), (2, k, None if k % 3 else b"%d" % k)))
+        store.settle()
+        assert len(store.snapshot().generations) <= 4
+    assert {r.ts: bytes(r.value) for r in store.scan(1, 0, 10).collect()} == {0: b"10", 1: b"11", 2: b"7", 3: b"8", 4: b"9"}
+    assert store.get(2, 4) == (None, False, True) and [r.ts for r in store.scan(2, 0, 99).collect()] == [0, 3, 6, 9]
+
+
+def test_commits_are_listed_and_dropped(spark, store):
+    for k in range(4):
+        store.append(batch(spark, (1, k, b"x")))
+    assert store.commits() == [1, 2, 3, 4] and store.commits(2) == [1, 2]
+    assert store.drop_commits(2) == [1, 2] and store.commits() == [3, 4] and store.live().count() == 4
+    assert store.drop_commits(99) == [3] and store.live().count() == 4
+
+
+def test_old_manifests_are_read(spark, store):
+    """A generation without key ranges, or with a field that is no longer known, is read in full."""
+    store.append(batch(spark, (1, 1, b"x")))
+    path = f"{store.path.removeprefix('file://')}/_commits/{1:020d}.json"
+    raw = json.loads(open(path).read())
+    raw["generations"] = [{"gen": g["gen"], "folder": g["folder"], "rows": g["rows"], "buckets": 0} for g in raw["generations"]]
+    os.remove(path)
+    crc = f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(path, "w") as f:
+        json.dump(raw, f)
+    assert store.get(1, 1)[0] == b"x"
+
+
 def test_stream_is_applied_once(spark, store, tmp_path):
     writes = batch(spark, (1, 1, b"a"), (1, 1, None), (2, 2, b"b"))
     writes.coalesce(1).write.parquet(f"file://{tmp_path}/in")

@@ -13,7 +13,7 @@ from . import operators as op
 from .functions import memtable_size, table_size, wal_size
 from .plans import conversations_log, events_log, lineitem_log, orders_log
 from .plans.fixtures import LINEITEM_ORDER
-from .sources import open_store
+from .sources import StoreConfig, open_store
 from .streaming import ingest
 
 #: The point and range that lookups ask for: the feature itself, not a cut of the input.
@@ -130,7 +130,11 @@ def ordered_scan_conversations(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/tidelog-store-{uuid.uuid4().hex}"
 
 
@@ -166,6 +170,32 @@ def store_multi_get(spark, sf_dir):
     return text(_loaded(spark, sf_dir).multi_get(keys))
 
 
+def store_pinned(spark, sf_dir):
+    """Live view pinned to the second of four commits, read after later commits and a compaction."""
+    store = _loaded(spark, sf_dir)
+    pinned = store.snapshot(store.commits()[1])
+    store.compact(major=True)
+    return text(store.live(pinned))
+
+
+def store_vacuumed(spark, sf_dir):
+    """Live view after a major compaction, dropped commits and a vacuum that keeps no old files."""
+    store = _loaded(spark, sf_dir)
+    store.compact(major=True)
+    store.drop_commits(store.snapshot().version)
+    store.vacuum(retention_s=0)
+    return text(store.live())
+
+
+def store_flush_close(spark, sf_dir):
+    """Every conversation turn inserted one by one with a small buffer, the store closed and opened again."""
+    path = _scratch(spark)
+    with open_store(spark, path, StoreConfig(flush_bytes=64 << 10)) as store:
+        for r in conversations_log(spark, sf_dir).toLocalIterator():
+            store.insert(r.series_id, r.ts, bytes(r.value or b""))
+    return text(open_store(spark, path).live())
+
+
 def stream_ingest_live(spark, sf_dir):
     """The events log written as files, ingested as a stream, then read live."""
     base = _scratch(spark)
@@ -179,7 +209,8 @@ def stream_ingest_live(spark, sf_dir):
 _QUERIES = (
     log_append, get_status, multi_get, scan_range, scan_single_ts, scan_inverted, scan_all_series, merge_live_lineitem, merge_live_orders, compact_major, compact_minor,
     compact_prefix_minor, compact_stats, snapshot_as_of, wal_replay_tail, reinsert_revives, gen_footer, gen_candidates, read_amplification, memtable_bytes, sst_bytes,
-    wal_bytes, ordered_scan_conversations, store_live, store_compact_major, store_scan_range, store_multi_get, stream_ingest_live,
+    wal_bytes, ordered_scan_conversations, store_live, store_compact_major, store_scan_range, store_multi_get, store_pinned, store_vacuumed, store_flush_close,
+    stream_ingest_live,
 )
 
 
@@ -250,5 +281,8 @@ SELECT gen, entries, series, min_series, (SELECT min(ts) FROM log WHERE log.gen
         "store_compact_major": _live(LOG_A),
         "store_scan_range": _live(LOG_A, in_range),
         "store_multi_get": every_key,
+        "store_pinned": _live(LOG_A, "gen <= (SELECT max(event_id // 250) // 2 FROM events)"),
+        "store_vacuumed": _live(LOG_A),
+        "store_flush_close": "SELECT conv_id AS series_id, turn AS ts, coalesce(text, '') AS value FROM conversations",
         "stream_ingest_live": _live(LOG_A),
     }

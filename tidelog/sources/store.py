@@ -25,19 +25,21 @@ from .manifest import CommitConflict, Generation, Manifest, Snapshot
 @dataclass(frozen=True)
 class StoreConfig:
     """flush_bytes: buffered single writes are committed at this size, counted 16 + value bytes, 17 for a delete.
-    rows_per_file: of a generation's files, at most. bloom_fpp: of the filter on series_id. bloom_series: distinct series
-    expected in a file. row_group_bytes: of Parquet row groups. retention_s: age of unreferenced files that vacuum removes."""
+    rows_per_file: of a generation's files, at most. bloom_fpp: of the filter on series_id, whose size follows
+    the distinct series that a row group holds, up to bloom_bytes. row_group_bytes: of Parquet row groups. max_generations: settle
+    compacts beyond so many. retention_s: age of unreferenced files that vacuum removes."""
 
     flush_bytes: int = 4 << 20
     rows_per_file: int = 5_000_000
     bloom_fpp: float = 0.01
-    bloom_series: int = 100_000
+    bloom_bytes: int = 1 << 20
     row_group_bytes: int = 128 << 20
+    max_generations: int = 64
     retention_s: float = 7 * 86400.0
 
     def __post_init__(self):
         # zero or empty settings mean the default
-        for name, default in (("flush_bytes", 4 << 20), ("rows_per_file", 5_000_000), ("bloom_fpp", 0.01), ("bloom_series", 100_000), ("row_group_bytes", 128 << 20)):
+        for name, default in (("flush_bytes", 4 << 20), ("rows_per_file", 5_000_000), ("bloom_fpp", 0.01), ("bloom_bytes", 1 << 20), ("row_group_bytes", 128 << 20), ("max_generations", 64)):
             if not getattr(self, name):
                 object.__setattr__(self, name, default)
 
@@ -110,28 +112,31 @@ class Store:
     def _write(self, df: DataFrame) -> Generation:
         """Rows to a new folder, sorted by key. The folder is no part of the store until a commit names it.
 
-        What the job counted on its way out must be what the files hold.
+        What the job counted on its way out must be what the files hold, which their footers say.
         """
         folder = uuid.uuid4().hex
         target = f"{self.path}/data/{folder}"
-        seen = F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("tombstones")
         sent = Observation()
+        seen = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("deleted").cast("long")), F.lit(0)).alias("tombstones")]
+        seen += [f(c).alias(name) for name, f, c in (("first_series", F.min, "series_id"), ("last_series", F.max, "series_id"), ("first_ts", F.min, "ts"), ("last_ts", F.max, "ts"))]
         arranged = df.select(STORED.names).repartitionByRange(*KEY).sortWithinPartitions(*KEY)
         (
-            arranged.observe(sent, seen[0])
+            arranged.observe(sent, *seen)
             .write.option("compression", "snappy")
             .option("maxRecordsPerFile", self.config.rows_per_file)
             .option("parquet.block.size", self.config.row_group_bytes)
             .option("parquet.bloom.filter.enabled#series_id", "true")
-            .option("parquet.bloom.filter.expected.ndv#series_id", self.config.bloom_series)
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.bloom.filter.candidates.number#series_id", 10)
+            .option("parquet.bloom.filter.max.bytes", self.config.bloom_bytes)
             .option("parquet.bloom.filter.fpp#series_id", self.config.bloom_fpp)
             .option("parquet.page.write-checksum.enabled", "true")
             .parquet(target)
         )
-        back = self._files([target]).agg(*seen).first()
-        if back.rows != sent.get["rows"]:
-            raise RuntimeError(f"wrote {sent.get['rows']} rows but read back {back.rows}")
-        return Generation(0, folder, back.rows, back.tombstones)
+        stats, back = sent.get, self._files([target]).count()
+        if back != stats["rows"]:
+            raise RuntimeError(f"wrote {stats['rows']} rows but read back {back}")
+        return Generation(0, folder, **stats)
 
     # --- reads ------------------------------------------------------------------------------------------------
 
@@ -157,17 +162,27 @@ class Store:
         lookup = F.create_map(*[F.lit(x) for pair in gens.items() for x in pair])
         return stored.withColumn("gen", F.element_at(lookup, folder)).select(LOG.names)
 
+    def _near(self, series_id: int, start: int, end: int, at: Snapshot | None) -> DataFrame:
+        """The log without generations that by the manifest hold nothing of the series in that time; their files are not opened."""
+        at = at or self.snapshot()
+        return self.log(replace(at, generations=tuple(g for g in at.generations if g.may_hold(series_id, start, end))))
+
     def get(self, series_id: int, ts: int, at: Snapshot | None = None) -> tuple[bytes | None, bool, bool]:
         """(value, found, deleted): live (v, True, False), tombstone (None, False, True), miss (None, False, False)."""
-        row = lww.get_status(self.log(at), [(series_id, ts)]).first()
-        return (bytes(row.value) if row.status == "live" else None), row.status == "live", row.status == "tombstone"
+        at = at or self.snapshot()
+        if not any(g.may_hold(series_id, ts, ts) for g in at.generations):
+            return None, False, False
+        row = lww.latest(self._near(series_id, ts, ts, at).where((F.col("series_id") == series_id) & (F.col("ts") == ts))).first()
+        if row is None:
+            return None, False, False
+        return (None, False, True) if row.deleted else (bytes(row.value), True, False)
 
     def multi_get(self, keys: DataFrame, at: Snapshot | None = None) -> DataFrame:
         return lww.multi_get(self.log(at), keys)
 
     def scan(self, series_id: int, start: int, end: int, at: Snapshot | None = None) -> DataFrame:
         """Live rows of a series in [start, end], in time order."""
-        return lww.scan(self.log(at), series_id, start, end)
+        return lww.scan(self._near(series_id, start, end, at), series_id, start, end)
 
     def live(self, at: Snapshot | None = None) -> DataFrame:
         return lww.live(self.log(at))
@@ -214,6 +229,37 @@ class Store:
 
         return self.manifest.commit(change)
 
+    def settle(self) -> Snapshot:
+        """Keep the number of generations bounded: beyond ``max_generations``, the youngest are compacted into one (a minor compaction).
+
+        At least half of the allowed number is taken, and older ones as long as they hold no more rows than all taken before,
+        so a row is rewritten a logarithmic number of times.
+        """
+        gens = self.snapshot().generations
+        if len(gens) <= self.config.max_generations:
+            return self.manifest.read()
+        taken, rows = 0, 0
+        for g in reversed(gens):
+            if taken > self.config.max_generations // 2 and g.rows > rows:
+                break
+            taken, rows = taken + 1, rows + g.rows
+        return self.compact(major=False, gens=[g.gen for g in gens[len(gens) - taken :]])
+
+    def commits(self, up_to: int | None = None) -> list[int]:
+        """Numbers of the stored commits, oldest first; only those up to a version, if given."""
+        return [v for v in self.manifest.versions() if up_to is None or v <= up_to]
+
+    def drop_commits(self, up_to: int) -> list[int]:
+        """Forget the commits up to a version, the newest of all excepted: nobody can be pinned to them any more.
+
+        Rows stay: the newest commit names all that are live. Returns the numbers; what only they named goes with the next vacuum.
+        """
+        newest = (self.manifest.versions() or [0])[-1]
+        gone = [v for v in self.commits(up_to) if v != newest]
+        for v in gone:
+            self.manifest.forget(v)
+        return gone
+
     def vacuum(self, retention_s: float | None = None) -> list[str]:
         """Remove folders that no version within the retention names, and commits before it; returns the folders.
 

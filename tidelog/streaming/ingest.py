@@ -1,7 +1,8 @@
 """Streams of writes.
 
 ``ingest`` commits each micro-batch as a generation; the batch's number is stored with the commit, so a batch that is
-retried after a crash is applied once. Arrival order wins whatever ``ts`` says; nothing is late.
+retried after a crash is applied once. Arrival order wins whatever ``ts`` says; nothing is late. Many small batches do not
+make ever more generations: beyond the store's bound the youngest are compacted.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import KEY
+from ..sources.manifest import CommitConflict
 from ..sources.store import Store
 
 
@@ -22,6 +24,10 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest
 
     def commit(batch: DataFrame, number: int) -> None:
         store.append(batch, transaction=(name, number))
+        try:
+            store.settle()
+        except CommitConflict:  # another compaction was faster
+            pass
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).queryName(name)
     return (writer.trigger(availableNow=True) if once else writer).start()
