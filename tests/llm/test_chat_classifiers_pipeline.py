@@ -58,6 +58,22 @@ def test_long_conversation_in_segments(spark):
     assert "".join(r.rendered for r in got if r.conv_id == 1) == "".join(f"<|im_start|>user\nturn {i}<|im_end|>\n" for i in range(700))
 
 
+def test_hot_turns_are_spread(spark):
+    """One turn number of one conversation with most rows, many of them equal: the stretches that tasks sort are short."""
+    rows = [(1, 5, "user", f"text {i % 4000:05d}") for i in range(12000)] + [(2, None, "user", f"t{i}") for i in range(3000)] + [(3, 0, "user", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = chat.positions(df, 256).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for conv in (1, 2, 3):
+        mine = sorted((r.pos, r.turn, r.role, r.text) for r in placed if r.conv_id == conv)
+        assert [x[1:] for x in mine] == sorted(x[1:] for x in rows if x[0] == conv) and [x[0] for x in mine] == list(range(1, len(mine) + 1))
+    stretches = Counter((r.conv_id, r.stretch) for r in {(r.conv_id, r.stretch, r.text): r for r in placed}.values())
+    assert max(stretches.values()) < 3500 and len(stretches) > 4
+
+
 def held_out(spark, name, column, rest, fold):
     labels = {r.doc_id: r[column] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = queries.queries()[name](spark, "/root/testdata/sf0.1").collect()

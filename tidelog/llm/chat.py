@@ -5,8 +5,8 @@ A chat log often holds the same conversation many times, once after every turn.
 conversation is a snapshot if its full hash and length equal a prefix of a longer one; an anti-join drops those, and of
 equal conversations the one with the smallest id stays. What remains is rendered turn by turn.
 
-A conversation may be very long: positions come from counts of short stretches of turns, so no task sorts more than a
-stretch's rows at a time, and the rendered text is one row per ``segment`` turns.
+A conversation may be very long: positions come from counts of short stretches of turns, each within one range partition, so no task
+sorts more than a stretch's rows at a time, and the rendered text is one row per ``segment`` turns.
 
 Results by case: rows with a null conversation id take no part; null turns come first, ties of one turn are ordered by role and
 text (nulls first) and repeated rows are turns of their own; a null role renders as ``unknown`` and a null text as
@@ -28,15 +28,24 @@ def turn_hash(salt: int) -> Column:
 
 
 def positions(turns: DataFrame, stretch: int) -> DataFrame:
-    """``turns`` with pos, from 1 within each conversation, by (turn, role, text)."""
+    """``turns`` with pos, from 1 within each conversation, by (turn, role, text), and the stretch that it was placed in.
+
+    A stretch is the part of ``stretch`` neighbouring turn numbers that lies in one range partition. Ranges are cut by conversation,
+    turn, role and the beginning of the text, so neither a long conversation nor one turn number that repeats is one task's;
+    equal rows are one row until they have their places.
+    """
+    order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first()]
+    same = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    ranged = same.repartitionByRange(F.col("conv_id"), *order, F.substring("text", 1, 64).asc_nulls_first())
     cut = F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 40))) / stretch)
-    turns = turns.withColumn("stretch", cut)
-    counts = materialize(turns.groupBy("conv_id", "stretch").agg(F.count("*").alias("n")), "stretches")
+    ranged = materialize(ranged.withColumn("stretch", F.struct(cut.alias("cut"), F.spark_partition_id().alias("part"))), "ranges")
+    counts = materialize(ranged.groupBy("conv_id", "stretch").agg(F.sum("copies").alias("n")), "stretches")
     before = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("conv_id", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ranked = turns.withColumn("rn", F.row_number().over(inside))
-    return ranked.join(starts, ["conv_id", "stretch"]).withColumn("pos", F.col("base") + F.col("rn")).drop("base", "rn")
+    inside = Window.partitionBy("conv_id", "stretch").orderBy(*order, F.col("text").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("rn", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(starts, ["conv_id", "stretch"])
+    first = F.col("base") + F.col("rn")
+    return placed.withColumn("pos", F.explode(F.sequence(first + 1, first + F.col("copies")))).drop("base", "rn", "copies")
 
 
 def render(role: str = "role", text: str = "text") -> Column:
