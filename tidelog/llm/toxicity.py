@@ -1,9 +1,9 @@
 """Toxicity by compression distance: does a dictionary of toxic text shorten a window more than one of ordinary text?
 
-Fitting takes a bounded sample of labelled texts, dealt in three. Zstandard trains a dictionary on windows of ordinary
-text, which both classes share, and for each of two parts of the sample one on toxic and one on ordinary windows.
+Fitting takes a bounded sample of labelled texts, dealt in five parts. Zstandard trains a dictionary on windows of ordinary
+text, which both classes share, and for each of four parts of the sample one on toxic and one on ordinary windows.
 Labels are of whole texts, though, and most windows of a toxic text are ordinary: those taken for training hold a word whose
-beginning is many times as frequent in toxic texts as in ordinary ones, in that part and in the other. The third part, which
+beginning is many times as frequent in toxic texts as in ordinary ones, in that part and in the others. The last part, which
 no dictionary has seen, calibrates thresholds on the windows of ordinary texts, and weights.
 
 For scoring, a text is cut at white space into windows of some forty bytes, and where there is none also at a fixed size, with
@@ -57,9 +57,9 @@ class Settings:
     each: int = 300
     share: float = 0.03
     ratio: float = 8.0
-    pairs: int = 2
+    pairs: int = 4
     min_match: int = 6
-    false_alarms: float = 0.006
+    false_alarms: float = 0.008
 
 
 @dataclass(frozen=True)
@@ -179,7 +179,7 @@ def toxic_windows(texts: list[str], marks: dict[bytes, float], s: Settings) -> l
     return [w for those in found.values() for w in sorted(those, key=zlib.crc32)[: s.each]]
 
 
-@lru_cache(4)
+@lru_cache(32)
 def _compressor(dictionary: bytes, min_match: int) -> zstandard.ZstdCompressor:
     # the fast strategy with a target length stores literals as they are, so lengths follow matches alone
     params = zstandard.ZstdCompressionParameters(
