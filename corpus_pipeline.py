@@ -36,7 +36,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("packing", pack_sequences)]
 
-#: SQL can't express fitted classifiers or byte-pair encoding; tests compare each stage with a brute-force version.
+#: SQL can't express fitted classifiers or byte-pair encoding. Tests compare each stage with its operator, and the operators with brute force.
 ORACLE_SQL = None
 
 
