@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The classifiers are fitted on bounded
 samples of the labelled rows, as documented in ``tidelog.llm.queries``.
+
+Cases, the same in the first three stages: rows keep all their columns, whatever these are called, and null ids; very long texts are
+read whole; an empty table gives an empty one. Null and empty texts are scored like any other by the two filters, and all stay among
+near duplicates. Repeated rows share a score, and one of them stays among near duplicates. Packing: a null or empty text is its end id alone.
 """
 
 from __future__ import annotations
