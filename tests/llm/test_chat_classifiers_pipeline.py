@@ -252,3 +252,17 @@ def test_pipeline_stages_follow_the_operators(spark):
     run = corpus_pipeline.run(spark, SF).collect()
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in run if r.length == 2048) == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces if r.length == 2048)
     assert sum(r.length for r in run) == sum(r.length for r in pieces)
+
+
+def test_the_sample_of_labelled_texts_is_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    """Long texts on many labelled rows would not fit the driver; fewer are taken, each whole, of both classes."""
+    texts = {i: f"{i} " + "word " * (20_000 if i == 7 else 200) for i in range(600)}
+    spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    full = queries.labelled_sample(spark, str(tmp_path), "toxic", 3, 1)
+    assert len(full) == 1 + sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in texts)  # 0 is in the sample, twice
+    monkeypatch.setattr(queries, "SAMPLE_BYTES", {"toxic": (20_000, 40_000)})
+    few = queries.labelled_sample(spark, str(tmp_path), "toxic", 3, 1)
+    assert 18_000 < sum(len(t) for y, t in few if y) <= 20_000 and 38_000 < sum(len(t) for y, t in few if not y) <= 40_000
+    assert all(t == texts[int(t.split()[0])] and y == int(t.split()[0]) % 2 for y, t in few)
+    assert [r for r in full if r in few] == few

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, minhash, packing, quality, sharding, token_counts, topk, toxicity
-from .common import table
+from .common import Scratch, table
 from .tokenizer import load, vocabulary
 
 
@@ -92,12 +92,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Labelled rows that a classifier is fitted on at most, of the rarer and of the commoner class; their texts are whole.
 SAMPLE_DOCS = {"toxic": (1500, 3000), "quality": (1000, 2000)}
+#: UTF-8 bytes of those texts at most, by class: the driver holds the sample. Where texts are long, fewer are taken, each whole.
+SAMPLE_BYTES = {"toxic": (8 << 20, 16 << 20), "quality": (6 << 20, 12 << 20)}
 
 
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: int, left_out: int) -> list[tuple[int, str]]:
     """(label, text) of a bounded sample, chosen by hash, of labelled rows outside the held-out fold.
 
-    The held-out fold is ``crc32(doc_id as text) mod fold = left_out``. Nulls in labels or texts are no examples.
+    The held-out fold is ``crc32(doc_id as text) mod fold = left_out``. Nulls in labels or texts are no examples, nor is a
+    text that does not fit what is left of its class's bytes.
     """
     few, many = SAMPLE_DOCS[label]
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("y")).where(crc_of_id() % fold != left_out)
@@ -106,8 +109,21 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, fold: int, lef
     order = F.xxhash64("doc_id")
     picked = marks.where(F.col("y") == rare).orderBy(order, "doc_id").limit(few).union(marks.where(F.col("y") == 1 - rare).orderBy(order, "doc_id").limit(many))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    found = docs.join(F.broadcast(picked), "doc_id").select("y", "text", "doc_id")
-    return [(r.y, r.text) for r in found.orderBy(order, "doc_id", "text").limit(few + many).collect()]
+    keep = Scratch()
+    found = keep(docs.join(F.broadcast(picked), "doc_id").select("y", "text", "doc_id"), "labelled")
+    same = found.withColumn("h", F.xxhash64("text"))
+    sizes = same.groupBy("y", "doc_id", "h").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(order, "doc_id", "h").limit(few + many).collect()
+    left, fit = dict(zip((rare, 1 - rare), SAMPLE_BYTES[label], strict=True)), []
+    for r in sizes:
+        if r.n <= left[r.y]:
+            left[r.y] -= r.n
+            fit.append((r.y, r.doc_id, r.h))
+    if len(fit) < len(sizes):
+        chosen = spark.createDataFrame(fit, same.select("y", "doc_id", "h").schema)
+        found = same.join(F.broadcast(chosen), ["y", "doc_id", "h"])
+    rows = [(r.y, r.text) for r in found.select("y", "text", "doc_id").orderBy(order, "doc_id", "text").limit(few + many).collect()]
+    keep.end()
+    return rows
 
 
 def crc_of_id() -> Column:
