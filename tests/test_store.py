@@ -287,3 +287,54 @@ def test_newest_per_key_stream(spark, tmp_path):
     q = newest_per_key(stream).writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.series_id, r.deleted) for r in spark.table("newest").select("series_id", "deleted", F.col("value")).collect()) == [(1, False), (2, True)]
+
+
+def test_single_writes_flush_without_a_job_and_stay_bounded(spark, tmp_path, monkeypatch):
+    """Many flushes neither start a Spark job each, nor list all commits, nor leave a generation each."""
+    store = open_store(spark, f"file://{tmp_path}/s", StoreConfig(flush_bytes=64, max_generations=4))
+    written, listed = [], []
+    write, versions = store._write, store.manifest.versions
+    monkeypatch.setattr(store, "_write", lambda df: written.append(1) or write(df))
+    monkeypatch.setattr(store.manifest, "versions", lambda: listed.append(1) or versions())
+    store.insert(5, 9, b"shadowed")
+    store.insert(5, 9, b"new")
+    store.delete(3, -4)
+    store.flush()
+    g = store.snapshot().generations[0]
+    assert not written and (g.rows, g.tombstones, g.first_series, g.last_series, g.first_ts, g.last_ts) == (2, 1, 3, 5, -4, 9)
+    assert store.get(5, 9) == (b"new", True, False) and store.get(3, -4) == (None, False, True)
+    for i in range(24):
+        store.insert(i % 8, i % 8, b"%016d" % i)
+        store.insert(100 + i, -i, b"%016d" % i)
+    assert len(store.snapshot().generations) <= 5 and len(written) < 8 and len(listed) <= 2
+    live = {(r.series_id, r.ts): int(r.value) for r in store.live().where("series_id <> 5 OR ts <> 9").collect()}
+    assert live == {(i % 8, i % 8): i for i in range(24)} | {(100 + i, -i): i for i in range(24)}
+
+
+def test_another_writers_commits_are_seen(spark, store):
+    """The newest version is found from the last known one, also where that has been dropped since."""
+    other = open_store(spark, store.path)
+    store.insert(1, 1, b"a")
+    store.flush()
+    assert other.manifest.read().version == 1
+    for k in range(3):
+        store.insert(1, 1, b"%d" % k)
+        store.flush()
+    store.drop_commits(3)
+    assert other.manifest.read().version == 4 and other.get(1, 1)[0] == b"2"
+    other.insert(1, 1, b"last")
+    other.close()
+    assert store.manifest.read().version == 5 and store.get(1, 1)[0] == b"last"
+
+
+def test_damaged_flush_fails(spark, store):
+    for t in range(500):
+        store.insert(1, t, os.urandom(64))
+    store.flush()
+    for f in glob.glob(f"{store.path.removeprefix('file://')}/data/*/*.parquet"):
+        data = bytearray(open(f, "rb").read())
+        data[len(data) // 2] ^= 0xFF
+        open(f, "wb").write(data)
+        os.remove(f"{os.path.dirname(f)}/.{os.path.basename(f)}.crc")
+    with pytest.raises(Exception, match="(?i)checksum|corrupt|parquet"):
+        store.live().collect()

@@ -1,7 +1,8 @@
 """A time-series store of change-log generations: append, read, compact.
 
 A generation is a folder of Parquet files, range-partitioned and sorted by (series_id, ts), with a Bloom filter on
-series_id, page checksums on. Its rank against others is the version of the commit that published it, so the
+series_id, page checksums on; a flush of buffered writes is one such file, made on the driver without a Spark job and, being
+small, without the filter, which its compaction adds. A generation's rank against others is the version of the commit that published it, so the
 order of arrival is the order of commits. A compaction takes neighbouring generations and ranks as the newest of
 them, so it can never outrank a write that came later; a major one must start at the oldest generation, since a
 tombstone may only go when nothing older is left.
@@ -14,6 +15,8 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +24,16 @@ from ..operators import lww
 from ..schema import KEY, LOG, STORED, canonical, checked
 from .manifest import CommitConflict, Generation, Manifest, Snapshot
 
+#: STORED for a file that the driver writes.
+_FILE = pa.schema([pa.field("series_id", pa.int64(), False), pa.field("ts", pa.int64(), False), pa.field("seq", pa.int64(), False), pa.field("deleted", pa.bool_(), False), pa.field("value", pa.binary())])
+
 
 @dataclass(frozen=True)
 class StoreConfig:
     """flush_bytes: buffered single writes are committed at this size, counted 16 + value bytes, 17 for a delete.
     rows_per_file: of a generation's files, at most. bloom_fpp: of the filter on series_id, whose size follows
-    the distinct series that a row group holds, up to bloom_bytes. row_group_bytes: of Parquet row groups. max_generations: settle
-    compacts beyond so many. retention_s: age of unreferenced files that vacuum removes."""
+    the distinct series that a row group holds, up to bloom_bytes. row_group_bytes: of Parquet row groups. max_generations: settle, and
+    inserts that flush, compact beyond so many. retention_s: age of unreferenced files that vacuum removes."""
 
     flush_bytes: int = 4 << 20
     rows_per_file: int = 5_000_000
@@ -74,8 +80,11 @@ class Store:
             raise ValueError("series ids are 0 .. 2^63 - 1 and times signed 64-bit; see functions.keys for larger ids")
         self._buffer.append((series_id, ts, len(self._buffer), deleted, value))
         self._bytes += 17 if deleted else 16 + len(value)
-        if self._bytes >= self.config.flush_bytes:
-            self.flush()
+        if self._bytes >= self.config.flush_bytes and len(self.flush().generations) > self.config.max_generations:
+            try:
+                self.settle()
+            except CommitConflict:  # another compaction was faster
+                pass
 
     def flush(self) -> Snapshot:
         """Commit all buffered writes as one generation; without any, nothing is written."""
@@ -83,7 +92,7 @@ class Store:
             return self.manifest.read()
         rows, self._buffer, self._bytes = self._buffer, [], 0
         try:
-            return self.append(self.spark.createDataFrame(rows, STORED))
+            return self._commit(self._write_rows(rows))
         except Exception:
             self._buffer, self._bytes = rows + self._buffer, self._bytes + sum(17 if r[3] else 16 + len(r[4]) for r in rows)
             raise
@@ -96,8 +105,9 @@ class Store:
         """
         if transaction and self.manifest.read().applied.get(transaction[0], -1) >= transaction[1]:
             return self.manifest.read()
-        made = self._write(lww.latest(checked(canonical(df))))
+        return self._commit(self._write(lww.latest(checked(canonical(df)))), transaction)
 
+    def _commit(self, made: Generation, transaction: tuple[str, int] | None = None) -> Snapshot:
         def change(now: Snapshot, version: int) -> Snapshot | None:
             if transaction and now.applied.get(transaction[0], -1) >= transaction[1]:
                 return None
@@ -138,6 +148,21 @@ class Store:
             raise RuntimeError(f"wrote {stats['rows']} rows but read back {back}")
         return Generation(0, folder, **stats)
 
+    def _write_rows(self, rows: list[tuple]) -> Generation:
+        """Buffered writes to a new folder, the newest of each key, sorted by key. At most ``flush_bytes`` and one write: a job would take longer than the file."""
+        newest = {(r[0], r[1]): r for r in rows}
+        kept = [newest[k] for k in sorted(newest)]
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), _FILE, strict=True)]
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_arrays(columns, schema=_FILE), sink, compression="snappy", write_page_checksum=True, write_page_index=True, store_schema=False)
+        data = sink.getvalue()
+        if (back := pq.read_metadata(pa.BufferReader(data)).num_rows) != len(kept):
+            raise RuntimeError(f"wrote {len(kept)} rows but read back {back}")
+        folder = uuid.uuid4().hex
+        self.manifest.put(f"data/{folder}/part-00000.snappy.parquet", data.to_pybytes())
+        times = [r[1] for r in kept]
+        return Generation(0, folder, len(kept), sum(r[3] for r in kept), int(kept[0][0]), int(kept[-1][0]), int(min(times)), int(max(times)))
+
     # --- reads ------------------------------------------------------------------------------------------------
 
     def _files(self, folders: list[str]) -> DataFrame:
@@ -278,8 +303,9 @@ class Store:
         for f in gone:
             self.manifest.remove(f)
         for i, s in enumerate(states[:-1]):
-            if states[i + 1].time < limit:
-                self.manifest.forget(s.version)
+            if states[i + 1].time >= limit:  # oldest first and without gaps, whatever clocks say: see Manifest.newest
+                break
+            self.manifest.forget(s.version)
         return gone
 
     def recover(self) -> Snapshot:
